@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.text import hash32, hash_unit
 from ledgerlens.operators.neighbours import nearest
 from ledgerlens.operators.ordered import first_by_hash, with_dense_number
+from ledgerlens.session import checkpointed
 
 CHUNK = 1000
 
@@ -125,7 +126,10 @@ def balance(
     not interpolated come from a donor: a minority row drawn by hash.
     """
     danger = borderline_labels(train, features, label, key, m).filter(F.col("kind") == "danger")
-    seeds = danger.select(key) if not danger.isEmpty() else None
+    # The neighbour search is read several times below: keep its result, a few keys.
+    seeds = checkpointed(danger.select(key))
+    if seeds.isEmpty():
+        seeds = None
     made = smote(train, features, label, key, ratio, k, seed, seeds)
 
     minority = train.filter(F.col(label) == 1)

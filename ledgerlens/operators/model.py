@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import fixed
 from ledgerlens.operators.evaluate import auc, sweep
+from ledgerlens.operators.stats import with_lookup
 
 
 def train_trees(train: DataFrame, features: list[str], label: str = "label", **params) -> PipelineModel:
@@ -22,7 +23,8 @@ def train_trees(train: DataFrame, features: list[str], label: str = "label", **p
     trees = GBTClassifier(
         featuresCol="__features", labelCol=label, predictionCol="__prediction", **settings
     )
-    trees.set(trees.rawPredictionCol, "__raw").set(trees.probabilityCol, "__probability")
+    trees.set(trees.rawPredictionCol, "__raw")
+    trees.set(trees.probabilityCol, "__probability")
     return Pipeline(stages=[assembler, trees]).fit(train.select(*features, label))
 
 
@@ -74,10 +76,10 @@ def ablate(
 
     One row: both metrics and the recall ceiling before and after, and what is left.
     """
-    from ledgerlens.plans.master import as_lookup
-
-    lookup = as_lookup(medians, "median")
-    masked = test.withColumns({c: F.try_element_at(lookup, F.lit(c)) for c in features})
+    masked = with_lookup(test, medians)
+    masked = masked.withColumns(
+        {c: F.try_element_at(F.col("__known.medians"), F.lit(c)) for c in features}
+    ).drop("__known")
 
     def measure(df: DataFrame, tag: str) -> DataFrame:
         scored = tree_score(df, model).select("score", F.col(label).alias("label"))

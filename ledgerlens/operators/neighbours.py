@@ -1,7 +1,7 @@
 """Exact nearest neighbours of many points without forming all pairs.
 
 Points are cut into cells by quantiles of the two widest features. The cells' bounding
-boxes and counts (at most `cells_per_axis` squared rows) give each query a distance that
+boxes and counts (at most 64 x 64 rows) give each query a distance that
 surely holds k points; only cells nearer than that are searched. Cells are split into
 tiles on both sides, so a crowded cell is many small tasks, and each tile hands on no
 more than k points per query.
@@ -19,12 +19,15 @@ from pyspark.sql import types as T
 from ledgerlens.functions.text import hash32
 
 
-def _cell(features: list[str], bounds: dict[str, list[float]], per_axis: int) -> Column:
+MAX_PER_AXIS = 64
+
+
+def _cell(bounds: dict[str, list[float]]) -> Column:
     """The cell number: how many cuts each axis value passes."""
     number = F.lit(0)
     for f, cuts in bounds.items():
         step = reduce(lambda a, b: a + b, [(F.col(f) > c).cast("int") for c in cuts], F.lit(0))
-        number = number * (per_axis + 1) + step
+        number = number * MAX_PER_AXIS + step
     return number
 
 
@@ -35,7 +38,6 @@ def nearest(
     k: int,
     key: str = "txn_id",
     carry: tuple[str, ...] = (),
-    cells_per_axis: int = 16,
     tile: int = 4096,
 ) -> DataFrame:
     """The `k` nearest other points of each query: `key`, neighbour, distance2, rank, `carry`.
@@ -47,27 +49,34 @@ def nearest(
     points = points.select(F.col(key).alias("__p"), *doubles, *carry)
     queries = queries.select(F.col(key).alias("__q"), *doubles)
 
+    # One bounded row of statistics: spread and quantiles of each feature. The two widest
+    # become the axes of the cells, cut so that a cell holds about half a tile of points.
+    levels = [i / MAX_PER_AXIS for i in range(1, MAX_PER_AXIS)]
+    spread = points.agg(
+        F.count("*").alias("n"),
+        *[F.coalesce(F.stddev_pop(f), F.lit(0.0)).alias(f"s_{f}") for f in features],
+        *[F.percentile_approx(f, levels, 1000).alias(f"q_{f}") for f in features],
+    ).first()
+    axes = sorted(features, key=lambda f: -spread[f"s_{f}"])[:2]
+    per_axis = 1
+    while per_axis < MAX_PER_AXIS and per_axis * per_axis * tile < 2 * spread["n"]:
+        per_axis *= 2
+    step = MAX_PER_AXIS // per_axis
+    bounds = {f: sorted(set((spread[f"q_{f}"] or [])[step - 1 :: step])) for f in axes}
+
     # Of many copies of one point only the first k+1 by key can be among anyone's nearest.
     copies = Window.partitionBy(*features).orderBy("__p")
     points = (
         points.withColumn("__n", F.row_number().over(copies)).filter(F.col("__n") <= k + 1).drop("__n")
     )
-
-    # One bounded row of statistics: spread of each feature, then quantiles of the two widest.
-    spread = points.agg(*[F.coalesce(F.stddev_pop(f), F.lit(0.0)).alias(f) for f in features]).first()
-    axes = sorted(features, key=lambda f: -spread[f])[:2]
-    levels = [i / cells_per_axis for i in range(1, cells_per_axis)]
-    cuts = points.agg(*[F.percentile_approx(f, levels, 1000).alias(f) for f in axes]).first()
-    bounds = {f: sorted(set(cuts[f] or [])) for f in axes}
-
-    placed = points.withColumn("__cell", _cell(features, bounds, cells_per_axis))
+    placed = points.withColumn("__cell", _cell(bounds))
     boxes = (
         placed.groupBy("__cell")
         .agg(
             F.count("*").alias("n"),
             *[g(f).alias(f"{name}_{f}") for f in features for name, g in (("lo", F.min), ("hi", F.max))],
         )
-        .collect()  # at most (cells_per_axis + 1)^2 rows
+        .collect()  # at most MAX_PER_AXIS squared rows
     )
     if not boxes:
         empty = points.select(F.col("__p").alias(key), F.col("__p").alias("neighbour"), *carry)

@@ -12,45 +12,55 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.text import hash32
 
 
+BUCKETS, STEP = 64, 8
+
+
+def _below(bounds: Column, value: str) -> Column:
+    return F.size(F.filter(bounds, lambda b: b < F.col(value)))
+
+
 def with_running_totals(
     df: DataFrame,
     value: str,
     sums: dict[str, str],
     group: str | None = None,
     descending: bool = False,
-    buckets: int = 64,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add `sums` = {output: column} running totals, inclusive, in the order of `value`.
+    """Add `sums` = {output: column} running totals, inclusive, in the order of `value`,
+    and `totals` = {output: column} of the whole group.
 
-    `df` holds one row per (`group`, `value`). The bucket table has at most `buckets`
+    `df` holds one row per (`group`, `value`). The bucket table has at most `BUCKETS`
     rows per group.
     """
-    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
     bounds = F.percentile_approx(value, cuts, F.lit(1000)).alias("__bounds")
     if group is None:
-        bucket = F.size(F.filter(F.col("__bounds"), lambda b: b < F.col(value)))
         placed = df.withColumn("__bounds", df.select(bounds).scalar())
     else:
-        limits = df.groupBy(group).agg(bounds)
-        bucket = F.size(F.filter(F.col("__bounds"), lambda b: b < F.col(value)))
-        placed = df.join(limits, group, "left")
-    placed = placed.withColumn("__bucket", bucket).drop("__bounds")
+        placed = df.join(df.groupBy(group).agg(bounds), group, "left")
+    # Every STEP-th bound first, then the bounds between two of those.
+    coarse = F.array(*[F.get("__bounds", F.lit(i)) for i in range(STEP - 1, BUCKETS - 1, STEP)])
+    placed = placed.withColumn("__first", STEP * _below(coarse, value))
+    fine = F.slice("__bounds", F.col("__first") + 1, STEP - 1)
+    placed = placed.withColumn("__bucket", F.col("__first") + _below(fine, value)).drop(
+        "__bounds", "__first"
+    )
 
     keys = [group] if group else []
     order = F.col("__bucket").desc() if descending else F.col("__bucket").asc()
-    # With no group this window holds at most `buckets` rows.
-    before = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    # With no group these windows hold at most `BUCKETS` rows.
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals or {}
     opening = (
         placed.groupBy(*keys, "__bucket")
-        .agg(*[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()])
+        .agg(*[F.sum(c).alias(f"__t_{o}") for o, c in {**sums, **totals}.items()])
         .select(
             *keys,
             "__bucket",
             *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums],
+            *[F.sum(f"__t_{o}").over(whole).alias(o) for o in totals],
         )
     )
     order = F.col(value).desc() if descending else F.col(value).asc()
@@ -62,14 +72,16 @@ def with_running_totals(
     return placed.join(opening, [*keys, "__bucket"]).select(
         *df.columns,
         *[(F.col(f"__o_{o}") + F.sum(c).over(inside)).alias(o) for o, c in sums.items()],
+        *totals,
     )
 
 
 def exact_medians(counted: DataFrame, group: str, value: str, n: str) -> DataFrame:
     """The median of each group from (`group`, `value`, `n`) counts: `group`, `median`."""
     present = counted.filter(F.col(value).isNotNull())
-    totals = present.groupBy(group).agg(F.sum(n).alias("__total"))
-    ranked = with_running_totals(present, value, {"__upto": n}, group=group)
+    ranked = with_running_totals(
+        present, value, {"__upto": n}, group=group, totals={"__total": n}
+    )
     low = F.floor((F.col("__total") + 1) / 2)
     high = F.floor((F.col("__total") + 2) / 2)
     before = F.col("__upto") - F.col(n)
@@ -78,8 +90,7 @@ def exact_medians(counted: DataFrame, group: str, value: str, n: str) -> DataFra
         return (before < rank) & (F.col("__upto") >= rank)
 
     return (
-        ranked.join(totals, group)
-        .filter(covers(low) | covers(high))
+        ranked.filter(covers(low) | covers(high))
         .groupBy(group)
         .agg(
             (

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ordered import first_by_hash
-from ledgerlens.operators.stats import column_stats, numeric_columns, text_columns
-from ledgerlens.plans.master import as_lookup
+from ledgerlens.operators.stats import column_stats, numeric_columns, text_columns, with_lookup
 
 UNKNOWN, MISSING = -1, -2
 
@@ -28,11 +27,10 @@ def impute(df: DataFrame, stats: DataFrame, keep: tuple[str, ...] = ("txn_id",))
     Columns without statistics keep their nulls; the keys in `keep` are not touched. Whole numbers widen to double, as a
     median can lie between two of them.
     """
-    medians, modes = as_lookup(stats, "median"), as_lookup(stats, "mode")
-    filled = {c: F.coalesce(c, F.try_element_at(modes, F.lit(c))) for c in text_columns(df) if c not in keep}
+    filled = {c: F.coalesce(c, F.try_element_at("__known.modes", F.lit(c))) for c in text_columns(df) if c not in keep}
     for c in [c for c in numeric_columns(df) if c not in keep]:
-        filled[c] = F.coalesce(F.col(c).cast("double"), F.try_element_at(medians, F.lit(c)))
-    return df.withColumns(filled)
+        filled[c] = F.coalesce(F.col(c).cast("double"), F.try_element_at("__known.medians", F.lit(c)))
+    return with_lookup(df, stats).withColumns(filled).drop("__known")
 
 
 def impute_from_train(split: DataFrame, exact: bool = True) -> DataFrame:

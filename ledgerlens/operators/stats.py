@@ -58,6 +58,23 @@ def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
     return _counts(df, cols, "string").groupBy("column").agg(best.alias("mode"))
 
 
+def with_lookup(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Add `__known`: a struct of the maps `medians` and `modes`, column name to value.
+
+    `stats` has one row per column of a table, so the maps are small; one scalar subquery
+    reads them once for all columns.
+    """
+    if "mode" not in stats.columns:
+        stats = stats.withColumn("mode", F.lit(None).cast("string"))
+
+    def entries(field: str):
+        pair = F.struct(F.col("column"), F.col(field))
+        return F.map_from_entries(F.collect_list(F.when(F.col(field).isNotNull(), pair)))
+
+    maps = F.struct(entries("median").alias("medians"), entries("mode").alias("modes"))
+    return df.withColumn("__known", stats.agg(maps).scalar())
+
+
 def null_summary(df: DataFrame, n: int = 10) -> DataFrame:
     """The columns with the most nulls, from one pass: column, nulls, pct."""
     counts = df.agg(

@@ -232,7 +232,7 @@ def _(v: Views):
 
 @query("goal_progress", """
 SELECT user_id, goal_id, name, target_amount, round(saved_amount, 2) AS saved_amount,
-       CASE WHEN target_amount > 0 THEN round(least(greatest(saved_amount / target_amount * 100, 0.0), 100.0), 4) ELSE 0.0 END AS pct_complete,
+       CASE WHEN target_amount > 0 THEN round(least(greatest(saved_amount / target_amount * 100, 0.0), 100.0), 8) ELSE 0.0 END AS pct_complete,
        round(greatest(target_amount - saved_amount, 0.0), 2) AS remaining, CAST(due_in_days AS DOUBLE) AS days_left,
        CASE WHEN due_in_days < 0 THEN concat('Overdue by ', -due_in_days, ' days') WHEN due_in_days = 0 THEN 'Due today!'
             WHEN due_in_days <= 7 THEN concat(due_in_days, ' days left')
@@ -244,7 +244,7 @@ def _(v: Views):
         "days_left", "deadline_text",
     )
     df = df.withColumn("days_left", F.col("days_left").cast("double"))
-    return rounded(rounded(df, 2, "saved_amount", "remaining"), 4, "pct_complete")
+    return rounded(rounded(df, 2, "saved_amount", "remaining"), 8, "pct_complete")
 
 
 @query("goal_contributions", """

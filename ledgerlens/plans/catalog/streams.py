@@ -61,7 +61,7 @@ def _(v: Views):
         # One folder per batch, written over on replay: a retry cannot add a row twice.
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    return jobs.feed(in_parts(live(v), EVENT_CUTS), folder, build, each_batch=write)
+    return jobs.feed(in_parts(live(v), EVENT_CUTS), folder, build, each_batch=write).drop("batch")
 
 
 @query("stream_budget", f"""

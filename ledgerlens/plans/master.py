@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions import fixed
 from ledgerlens.functions.times import is_night
+from ledgerlens.operators.stats import column_medians, column_stats, with_lookup
 
 IMPUTED = ["time_since_last_txn_min", "transaction_velocity", "amount_deviation_score"]
 COLUMN_ROLES = {
@@ -47,19 +48,11 @@ def flag_columns(df: DataFrame) -> DataFrame:
 
 
 def fill_with_medians(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Fill nulls with each column's exact median, read as scalar subqueries."""
-    from ledgerlens.operators.stats import column_medians
-
-    medians = as_lookup(column_medians(df, cols), "median")
-    return df.withColumns(
-        {c: F.coalesce(F.col(c), F.try_element_at(medians, F.lit(c))) for c in cols}
-    )
-
-
-def as_lookup(stats: DataFrame, field: str) -> Column:
-    """A (column, field) frame, one row per column, as a map read by one scalar subquery."""
-    entries = F.collect_list(F.struct("column", field))
-    return stats.filter(F.col(field).isNotNull()).agg(F.map_from_entries(entries)).scalar()
+    """Fill nulls with each column's exact median."""
+    known = with_lookup(df, column_medians(df, cols))
+    return known.withColumns(
+        {c: F.coalesce(F.col(c), F.try_element_at("__known.medians", F.lit(c))) for c in cols}
+    ).drop("__known")
 
 
 def enrich_users(txn: DataFrame, users: DataFrame) -> DataFrame:
@@ -93,7 +86,6 @@ def bridge(supplement: DataFrame, anchor: DataFrame, stats: DataFrame) -> DataFr
     `stats` has columns column, median, mode (see `column_stats`); columns only the
     anchor has are filled with the anchor's mode (text) or median (numbers).
     """
-    medians, modes = as_lookup(stats, "median"), as_lookup(stats, "mode")
     own = {
         "transaction_id": F.concat(F.lit("SYN_"), F.col("transaction_id").cast("string")),
         "user_id": F.concat(F.lit("SYN_USR_"), F.col("user_id").cast("string")),
@@ -116,13 +108,13 @@ def bridge(supplement: DataFrame, anchor: DataFrame, stats: DataFrame) -> DataFr
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)):
             value = F.lit(None)
         elif isinstance(f.dataType, T.StringType):
-            value = F.coalesce(F.try_element_at(modes, F.lit(f.name)), F.lit("Unknown"))
+            value = F.coalesce(F.try_element_at("__known.modes", F.lit(f.name)), F.lit("Unknown"))
         else:
-            value = F.try_element_at(medians, F.lit(f.name))
+            value = F.try_element_at("__known.medians", F.lit(f.name))
         # A median can lie between two integers, so whole-number columns widen here.
         wide = isinstance(f.dataType, (T.IntegerType, T.LongType)) and f.name not in own
         plan.append(value.cast("double" if wide else f.dataType).alias(f.name))
-    return supplement.select(*plan, "device_risk_score", "ip_risk_score")
+    return with_lookup(supplement, stats).select(*plan, "device_risk_score", "ip_risk_score")
 
 
 def align(df: DataFrame, features: list[str]) -> DataFrame:
@@ -161,8 +153,6 @@ def build_master(
     txn: DataFrame, users: DataFrame, merchants: DataFrame, supplement: DataFrame
 ) -> DataFrame:
     """The whole training table as one lazy plan: 50 columns, no rows on the driver."""
-    from ledgerlens.operators.stats import column_stats
-
     anchor = build_anchor(txn, users, merchants)
     bridged = bridge(supplement, anchor, column_stats(anchor))
     master = stack(anchor, bridged).withColumns(

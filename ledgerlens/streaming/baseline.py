@@ -54,10 +54,10 @@ def _processor(columns: list[str], key_name: str, span: int, width: int) -> Stat
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             # One user's share of one trigger; the trigger's size bounds it.
-            batch = pd.concat(list(rows)).sort_values("__at", kind="stable").reset_index(drop=True)
-            at = batch["__at"].to_numpy(dtype="int64")
-            amount = batch["__amount"].to_numpy(dtype=float)
-            hour = batch["__hour"].to_numpy(dtype=float)
+            batch = pd.concat(list(rows)).sort_values("row_at", kind="stable").reset_index(drop=True)
+            at = batch["row_at"].to_numpy(dtype="int64")
+            amount = batch["row_amount"].to_numpy(dtype=float)
+            hour = batch["row_hour"].to_numpy(dtype=float)
             slices = at - at % width
 
             held = {}
@@ -131,9 +131,9 @@ def baseline_stream(
     us = timedelta(microseconds=1)
     prepared = txn.withColumns(
         {
-            "__at": micros(ts),
-            "__amount": F.col(amount).cast("double"),
-            "__hour": F.col(hour).cast("double"),
+            "row_at": micros(ts),
+            "row_amount": F.col(amount).cast("double"),
+            "row_hour": F.col(hour).cast("double"),
         }
     )
     schema = T.StructType(list(txn.schema.fields))
