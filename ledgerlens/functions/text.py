@@ -12,7 +12,8 @@ def hash32(*parts: Column | str | int) -> Column:
     """A 32-bit hash of the parts: the same for a row however the data is partitioned."""
     cols = [F.lit(str(p)) if isinstance(p, int) else p for p in parts]
     cols = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("long")
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("long")
+    return F.coalesce(number, F.lit(0).cast("long"))  # never null
 
 
 def hash_unit(*parts: Column | str | int) -> Column:

@@ -145,10 +145,13 @@ def nearest(
                 diff = q[:, j][:, None] - p[:, j][None]
                 d += diff * diff
             d[part["__q"].to_numpy()[:, None] == ids[None]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            at = np.repeat(np.arange(len(q)), best.shape[1])
-            pick = best.ravel()
-            keep = np.isfinite(d[at, pick])
+            # Points up to the k-th distance, then of those the first k by distance and key.
+            last = min(k, d.shape[1]) - 1
+            within = (d <= np.partition(d, last, axis=1)[:, last : last + 1]) & np.isfinite(d)
+            at, pick = np.nonzero(within)
+            order = np.lexsort((pick, d[at, pick], at))
+            at, pick = at[order], pick[order]
+            keep = np.arange(len(at)) - np.searchsorted(at, at) < k
             at, pick = at[keep], pick[keep]
             out = {
                 key: part["__q"].to_numpy()[at],

@@ -69,7 +69,9 @@ def with_running_totals(
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return placed.join(opening, [*keys, "__bucket"]).select(
+    # A left join: an inner one would push a not-null test of the bucket down to every
+    # input row. Each bucket has its opening row.
+    return placed.join(opening, [*keys, "__bucket"], "left").select(
         *df.columns,
         *[(F.col(f"__o_{o}") + F.sum(c).over(inside)).alias(o) for o, c in sums.items()],
         *totals,
@@ -118,7 +120,7 @@ def with_dense_number(
         .select("__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__opening"))
     )
     inside = Window.partitionBy("__bucket").orderBy("__hash", key)
-    return hashed.join(opening, "__bucket").select(
+    return hashed.join(opening, "__bucket", "left").select(
         *df.columns, (F.col("__opening") + F.row_number().over(inside) - 1).alias(out)
     )
 

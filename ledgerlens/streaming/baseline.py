@@ -1,8 +1,9 @@
 """The trailing baseline as keyed streaming state.
 
-State of a user is kept in time slices: sums per slice, and the rows of a slice for the
-two slices a window cuts through. A batch reads the sums of the slices it spans and only
-the rows at its edges; slices that have left every window are removed.
+State of a user is kept in time slices: one small table of sums per slice, and the rows
+of each slice for the two slices a window cuts through. A batch reads the sums and only
+the rows at the edges of its windows; slices that have left every window are removed.
+Users with very many rows a day want shorter slices (`slice_length`).
 """
 
 from __future__ import annotations
@@ -19,18 +20,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ledgerlens.functions.times import micros
 from ledgerlens.operators.baseline import finish_baseline
 
-SUMS = ["n", "x", "xx", "hn", "h", "hh"]
 
-
-def _processor(columns: list[str], key_name: str, span: int, width: int) -> StatefulProcessor:
+def _processor(columns: list[str], span: int, width: int) -> StatefulProcessor:
     """Built in a function so that it is shipped to the workers by value."""
     import numpy as np
 
     class Baseline(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.sums = handle.getMapState(
-                "sums", "slice long", "n double, x double, xx double, hn double, h double, hh double"
-            )
+            # Six totals per slice, flat, in the order of `slices`.
+            self.sums = handle.getValueState("sums", "slices array<bigint>, totals array<double>")
             self.rows = handle.getMapState(
                 "rows", "slice long", "at array<bigint>, amount array<double>, hour array<double>"
             )
@@ -43,8 +41,6 @@ def _processor(columns: list[str], key_name: str, span: int, width: int) -> Stat
             return np.stack([has_x.astype(float), x, x * x, has_h.astype(float), h, h * h], axis=1)
 
         def _load(self, s):
-            if not self.rows.containsKey((s,)):
-                return np.empty(0, "int64"), np.empty(0), np.empty(0)
             at, amount, hour = self.rows.getValue((s,))
             return (
                 np.array(list(at), dtype="int64"),
@@ -60,47 +56,54 @@ def _processor(columns: list[str], key_name: str, span: int, width: int) -> Stat
             hour = batch["row_hour"].to_numpy(dtype=float)
             slices = at - at % width
 
-            held = {}
-            for s in np.unique(slices):
+            known = {}
+            if self.sums.exists():
+                starts, flat = self.sums.get()
+                known = dict(zip(list(starts), np.array(list(flat), dtype=float).reshape(-1, 6)))
+
+            loaded = {}
+
+            def slice_rows(s):
+                if s not in loaded:
+                    if s in known:
+                        moments, a, h = self._load(s)
+                        loaded[s] = (moments, self._parts(a, h))
+                    else:
+                        loaded[s] = (np.empty(0, "int64"), np.empty((0, 6)))
+                return loaded[s]
+
+            optional = lambda values: [None if np.isnan(a) else float(a) for a in values]
+            for s in np.unique(slices).tolist():
                 mine = slices == s
-                old = self._load(int(s))
-                merged = [np.concatenate([a, b]) for a, b in zip(old, (at[mine], amount[mine], hour[mine]))]
-                order = np.argsort(merged[0], kind="stable")
-                merged = [m[order] for m in merged]
+                merged = [at[mine], amount[mine], hour[mine]]
+                if s in known:
+                    merged = [np.concatenate(pair) for pair in zip(self._load(s), merged)]
+                    order = np.argsort(merged[0], kind="stable")
+                    merged = [m[order] for m in merged]
                 parts = self._parts(merged[1], merged[2])
-                held[int(s)] = (merged[0], parts)
+                loaded[s], known[s] = (merged[0], parts), parts.sum(axis=0)
                 self.rows.updateValue(
-                    (int(s),),
-                    (merged[0].tolist(), [None if np.isnan(a) else float(a) for a in merged[1]],
-                     [None if np.isnan(a) else float(a) for a in merged[2]]),
+                    (s,), (merged[0].tolist(), optional(merged[1]), optional(merged[2]))
                 )
-                self.sums.updateValue((int(s),), tuple(float(a) for a in parts.sum(axis=0)))
-
-            known = sorted((k[0], v) for k, v in self.sums.iterator())
-            starts = np.array([k for k, _ in known], dtype="int64")
-            totals = np.vstack([np.zeros((1, 6)), np.cumsum(np.array([list(v) for _, v in known]), axis=0)])
-
-            def edge(s):
-                if s not in held:
-                    moments, a, h = self._load(s)
-                    held[s] = (moments, self._parts(a, h))
-                return held[s]
 
+            starts = np.array(sorted(known), dtype="int64")
+            sums = np.array([known[s] for s in starts.tolist()])
+            totals = np.vstack([np.zeros((1, 6)), np.cumsum(sums, axis=0)])
             found = np.zeros((len(at), 6))
-            for i, (t, s) in enumerate(zip(at, slices)):
+            for i, (t, s) in enumerate(zip(at.tolist(), slices.tolist())):
                 first = t - span
-                tail = int(first - first % width)
+                tail = first - first % width
                 low, high = np.searchsorted(starts, [tail + 1, s])
                 found[i] = totals[high] - totals[low]
-                moments, parts = edge(int(s))
+                moments, parts = slice_rows(s)
                 found[i] += parts[: np.searchsorted(moments, t)].sum(axis=0)
-                moments, parts = edge(tail)
+                moments, parts = slice_rows(tail)
                 found[i] += parts[np.searchsorted(moments, first) :].sum(axis=0)
 
-            gone = int(starts[-1]) - span - width if len(starts) else 0
-            for s in starts[starts < gone]:
-                self.rows.removeKey((int(s),))
-                self.sums.removeKey((int(s),))
+            kept = starts >= starts[-1] - span - width
+            for s in starts[~kept].tolist():
+                self.rows.removeKey((s,))
+            self.sums.update((starts[kept].tolist(), sums[kept].ravel().tolist()))
 
             out = batch[columns].copy()
             for j, name in enumerate(["__n", "__x", "__xx", "__hn", "__h", "__hh"]):
@@ -121,7 +124,7 @@ def baseline_stream(
     hour: str = "hour_of_day",
     days: int = 90,
     min_rows: int = 5,
-    slice_length: timedelta = timedelta(hours=1),
+    slice_length: timedelta = timedelta(days=1),
 ) -> DataFrame:
     """The columns of `with_baseline` on a stream.
 
@@ -140,7 +143,7 @@ def baseline_stream(
     for name in ["__n", "__x", "__xx", "__hn", "__h", "__hh"]:
         schema = schema.add(name, "double")
     summed = prepared.groupBy(user).transformWithStateInPandas(
-        statefulProcessor=_processor(txn.columns, user, timedelta(days=days) // us, slice_length // us),
+        statefulProcessor=_processor(txn.columns, timedelta(days=days) // us, slice_length // us),
         outputStructType=schema,
         outputMode="Append",
         timeMode="None",
