@@ -129,6 +129,11 @@ def run_available(
     return running.recentProgress
 
 
+def late_rows(progress: list[dict]) -> int:
+    """Rows a run dropped because they came after the watermark had passed them."""
+    return sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"])
+
+
 def read_out(stream: DataFrame, folder: str, keys: list[str] | None = None, name: str = "out") -> DataFrame:
     """What a run has written; with `keys`, only the latest batch's row of each key."""
     schema = stream.schema
