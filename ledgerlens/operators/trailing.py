@@ -69,7 +69,10 @@ def with_trailing(
 
     at = micros(ts)
     measured = df.select(
-        "*", at.alias(_AT), *[frames[i].sums[out].alias(measure(out)) for i, out in names]
+        "*",
+        at.alias(_AT),
+        # A row without a time is in no window.
+        *[F.when(at.isNotNull(), frames[i].sums[out]).alias(measure(out)) for i, out in names],
     )
     sliced = measured.withColumn(_SLICE, F.col(_AT) - F.pmod(F.col(_AT), F.lit(width)))
 

@@ -21,7 +21,7 @@ from ledgerlens.functions.times import micros
 from ledgerlens.operators.baseline import finish_baseline
 
 
-def _processor(columns: list[str], span: int, width: int) -> StatefulProcessor:
+def _processor(columns: list[str], outputs: list[str], span: int, width: int) -> StatefulProcessor:
     """Built in a function so that it is shipped to the workers by value."""
     import numpy as np
 
@@ -50,7 +50,14 @@ def _processor(columns: list[str], span: int, width: int) -> StatefulProcessor:
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             # One user's share of one trigger; the trigger's size bounds it.
-            batch = pd.concat(list(rows)).sort_values("row_at", kind="stable").reset_index(drop=True)
+            batch = pd.concat(list(rows))
+            untimed = batch[batch["row_at"].isna()]
+            if len(untimed):  # in no window, and sees none
+                yield untimed[columns].assign(**dict.fromkeys(outputs, 0.0))
+            batch = batch[batch["row_at"].notna()]
+            if batch.empty:
+                return
+            batch = batch.sort_values("row_at", kind="stable").reset_index(drop=True)
             at = batch["row_at"].to_numpy(dtype="int64")
             amount = batch["row_amount"].to_numpy(dtype=float)
             hour = batch["row_hour"].to_numpy(dtype=float)
@@ -106,7 +113,7 @@ def _processor(columns: list[str], span: int, width: int) -> StatefulProcessor:
             self.sums.update((starts[kept].tolist(), sums[kept].ravel().tolist()))
 
             out = batch[columns].copy()
-            for j, name in enumerate(["__n", "__x", "__xx", "__hn", "__h", "__hh"]):
+            for j, name in enumerate(outputs):
                 out[name] = found[:, j]
             yield out
 
@@ -132,6 +139,7 @@ def baseline_stream(
     do not change what was already sent on.
     """
     us = timedelta(microseconds=1)
+    outputs = ["__n", "__x", "__xx", "__hn", "__h", "__hh"]
     prepared = txn.withColumns(
         {
             "row_at": micros(ts),
@@ -140,10 +148,10 @@ def baseline_stream(
         }
     )
     schema = T.StructType(list(txn.schema.fields))
-    for name in ["__n", "__x", "__xx", "__hn", "__h", "__hh"]:
+    for name in outputs:
         schema = schema.add(name, "double")
     summed = prepared.groupBy(user).transformWithStateInPandas(
-        statefulProcessor=_processor(txn.columns, timedelta(days=days) // us, slice_length // us),
+        statefulProcessor=_processor(txn.columns, outputs, timedelta(days=days) // us, slice_length // us),
         outputStructType=schema,
         outputMode="Append",
         timeMode="None",
