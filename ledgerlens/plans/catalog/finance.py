@@ -40,10 +40,10 @@ SPEND = "category NOT IN ('Income', 'Refund')"
 
 
 @query("total_spent_month", f"""
-SELECT user_id, round(coalesce(sum(CASE WHEN ts >= TIMESTAMP '2001-07-01' AND {SPEND} THEN amount END), 0.0), 2) AS total
-FROM v_ledger GROUP BY user_id""")
+SELECT u.user_id, round(coalesce(sum(CASE WHEN ts >= TIMESTAMP '2001-07-01' AND {SPEND} THEN amount END), 0.0), 2) AS total
+FROM v_users u LEFT JOIN v_ledger l ON u.user_id = l.user_id GROUP BY u.user_id""")
 def _(v: Views):
-    return rounded(finance.total_spent_month(v.ledger, AS_OF), 2, "total")
+    return rounded(finance.total_spent_month(v.ledger, AS_OF, v.users), 2, "total")
 
 
 @query("total_spend_between", f"""
@@ -87,11 +87,11 @@ def _(v: Views):
 
 
 @query("ledger_stats", """
-SELECT user_id, round(avg(amount) FILTER (WHERE ts >= TIMESTAMP '2000-01-01'), 4) AS avg_amount,
+SELECT user_id, round(avg(amount) FILTER (WHERE ts >= TIMESTAMP '2000-01-01'), 8) AS avg_amount,
        count(*) FILTER (WHERE ts >= TIMESTAMP '2000-01-01') AS txn_count_since, count(*) AS txn_count
 FROM v_ledger GROUP BY user_id""")
 def _(v: Views):
-    return rounded(finance.ledger_stats(v.ledger, START), 4, "avg_amount")
+    return rounded(finance.ledger_stats(v.ledger, START), 8, "avg_amount")
 
 
 @query("dashboard_stats", f"""
@@ -111,11 +111,11 @@ t AS (SELECT user_id, category AS top_category FROM c WHERE {SPEND}
 s AS (SELECT user_id, coalesce(sum(total) FILTER (WHERE NOT ({SPEND})), 0.0) AS earnings,
              coalesce(sum(total) FILTER (WHERE {SPEND}), 0.0) AS spend FROM c GROUP BY 1)
 SELECT s.user_id, round(earnings, 2) AS earnings, round(spend, 2) AS spend, round(earnings - spend, 2) AS net,
-       round(spend / 20, 4) AS avg_daily, coalesce(top_category, '—') AS top_category
+       round(spend / 20, 8) AS avg_daily, coalesce(top_category, '—') AS top_category
 FROM s LEFT JOIN t ON s.user_id = t.user_id""")
 def _(v: Views):
     df = rounded(finance.finance_overview(v.ledger, AS_OF), 2, "earnings", "spend", "net")
-    return rounded(df, 4, "avg_daily")
+    return rounded(df, 8, "avg_daily")
 
 
 SHARE_LIST = ["Food", "Travel", "Shopping", "Utilities", "Uncategorized"]
@@ -126,12 +126,12 @@ WITH cats AS (SELECT * FROM (VALUES ('Food'), ('Travel'), ('Shopping'), ('Utilit
 t AS (SELECT user_id, sum(amount) AS total FROM v_ledger WHERE NOT is_fraud GROUP BY 1),
 s AS (SELECT user_id, category, sum(amount) AS spent FROM v_ledger WHERE NOT is_fraud GROUP BY 1, 2)
 SELECT t.user_id, cats.category, round(coalesce(spent, 0.0), 2) AS spent,
-       round(coalesce(spent, 0.0) / total * 100, 4) AS pct, round(least(100.0, total / 3000000.0 * 100), 4) AS limit_used,
+       round(coalesce(spent, 0.0) / total * 100, 8) AS pct, round(least(100.0, total / 3000000.0 * 100), 8) AS limit_used,
        CASE WHEN total / 3000000.0 * 100 > 90 THEN 'danger' WHEN total / 3000000.0 * 100 > 70 THEN 'warning' ELSE 'success' END AS band
 FROM t CROSS JOIN cats LEFT JOIN s ON s.user_id = t.user_id AND s.category = cats.category""")
 def _(v: Views):
     df = finance.category_share(v.ledger, SHARE_LIST, 3_000_000.0)
-    return rounded(rounded(df, 4, "pct", "limit_used"), 2, "spent")
+    return rounded(rounded(df, 8, "pct", "limit_used"), 2, "spent")
 
 
 TWO_MONTHS = f"""
@@ -139,11 +139,11 @@ TWO_MONTHS = f"""
     sum(CASE WHEN ts < TIMESTAMP '2001-07-01' THEN amount ELSE 0.0 END) AS last_month
   FROM v_ledger WHERE ts >= TIMESTAMP '2001-06-01' AND ts < TIMESTAMP '2001-07-20' AND NOT is_fraud AND {SPEND}"""
 CHANGE = """round(this_month, 2) AS this_month, round(last_month, 2) AS last_month, round(this_month - last_month, 2) AS delta,
-       round(CASE WHEN last_month > 0 THEN (this_month - last_month) / last_month * 100 ELSE 0.0 END, 4) AS pct_change"""
+       round(CASE WHEN last_month > 0 THEN (this_month - last_month) / last_month * 100 ELSE 0.0 END, 8) AS pct_change"""
 
 
 def _round_change(df):
-    return rounded(rounded(df, 2, "this_month", "last_month", "delta"), 4, "pct_change")
+    return rounded(rounded(df, 2, "this_month", "last_month", "delta"), 8, "pct_change")
 
 
 @query("month_over_month", f"""
@@ -177,13 +177,13 @@ WITH m AS (SELECT user_id,
     sum(CASE WHEN ts < TIMESTAMP '2001-07-01' THEN amount ELSE 0.0 END) AS last_month
   FROM v_ledger WHERE ts >= TIMESTAMP '2001-06-01' AND NOT is_fraud AND {SPEND} GROUP BY 1),
 p AS (SELECT *, spent / 20 AS daily_rate, spent / 20 * 31 AS projected FROM m)
-SELECT user_id, round(spent, 2) AS spent, round(projected, 4) AS projected, round(daily_rate, 4) AS daily_rate,
+SELECT user_id, round(spent, 2) AS spent, round(projected, 8) AS projected, round(daily_rate, 8) AS daily_rate,
        CAST(20 AS INT) AS day, CAST(31 AS INT) AS days,
        CASE WHEN last_month = 0 THEN 'NO_DATA' WHEN projected <= last_month * 0.9 THEN 'ON_TRACK'
             WHEN projected <= last_month * 1.1 THEN 'NEUTRAL' ELSE 'OVER_PACE' END AS status FROM p""")
 def _(v: Views):
     df = rounded(finance.spending_pace(v.ledger, AS_OF), 2, "spent")
-    return rounded(df, 4, "projected", "daily_rate")
+    return rounded(df, 8, "projected", "daily_rate")
 
 
 TOP_MERCHANTS = f"""
@@ -211,10 +211,10 @@ p AS (SELECT s.user_id, s.category, total, txn_count, monthly_limit,
 
 @query("budget_progress", f"""
 WITH {PROGRESS}
-SELECT user_id, category, round(total, 2) AS total, txn_count, monthly_limit, round(pct_used, 4) AS pct_used, status FROM p""")
+SELECT user_id, category, round(total, 2) AS total, txn_count, monthly_limit, round(pct_used, 8) AS pct_used, status FROM p""")
 def _(v: Views):
     df = rounded(finance.budget_progress(v.ledger, v.budgets, AS_OF), 2, "total")
-    return rounded(df, 4, "pct_used")
+    return rounded(df, 8, "pct_used")
 
 
 SURPLUS = """
@@ -252,7 +252,7 @@ WITH c AS (SELECT user_id * 10 + 1 + txn_id % 2 AS goal_id, sum(amount) / 1e3 AS
            WHERE category = 'Income' GROUP BY 1),
 g AS (SELECT g.*, added, CASE WHEN added IS NULL THEN saved_amount ELSE least(saved_amount + added, target_amount) END AS total
       FROM v_goals g LEFT JOIN c ON g.goal_id = c.goal_id)
-SELECT user_id, goal_id, target_amount, round(total, 2) AS saved_amount,
+SELECT user_id, goal_id, target_amount, round(total, 6) AS saved_amount,
        is_completed OR (added IS NOT NULL AND total >= target_amount) AS is_completed,
        CAST(created_order AS INT) AS created_order FROM g""")
 def _(v: Views):
@@ -263,7 +263,7 @@ def _(v: Views):
     df = finance.contribute(v.goals, paid).select(
         "user_id", "goal_id", "target_amount", "saved_amount", "is_completed", "created_order"
     )
-    return rounded(df, 2, "saved_amount")
+    return rounded(df, 6, "saved_amount")
 
 
 @query("surplus_to_goal", f"""

@@ -56,7 +56,7 @@ q AS (SELECT *, date_diff('microsecond', lag(ts) OVER u, ts) / 60e6 AS gap,
 
 @query("velocity_features", f"""
 WITH {VELOCITY_SQL}
-SELECT txn_id, round(gap, 4) AS time_since_last_txn_min, velocity AS transaction_velocity,
+SELECT txn_id, round(gap, 8) AS time_since_last_txn_min, velocity AS transaction_velocity,
        CAST(failures AS BIGINT) AS failed_attempts_last_24h, CAST(repeats > 0 AS INT) AS recurring_payment_flag FROM q""")
 def _(v: Views):
     named = v.event_txn.select(
@@ -64,7 +64,7 @@ def _(v: Views):
     )
     return with_velocity(named, amount="bill").select(
         "txn_id",
-        r("time_since_last_txn_min", 4).alias("time_since_last_txn_min"),
+        r("time_since_last_txn_min", 8).alias("time_since_last_txn_min"),
         "transaction_velocity",
         "failed_attempts_last_24h",
         "recurring_payment_flag",
@@ -259,10 +259,11 @@ def _(v: Views):
 def typed_records(v: Views) -> DataFrame:
     """Scoring records from events; some break rules."""
     k = F.col("k")
-    base = scoring.request_features(with_baseline(live(v)))
+    base = scoring.request_features(with_baseline(live(v).withColumn("amount", F.col("amount") + 1)))
     return base.withColumns(
         {
             "upi_id": F.when(k % 4 == 0, "user@oksbi").when(k % 4 == 1, "notavpa").when(k % 4 == 2, "a@b"),
+            "amount": F.when(k % 20 == 7, -1.0).otherwise(F.col("amount")),
             "mrc_size": F.when(k % 6 == 0, "P2P").otherwise(F.col("mrc_size")),
             "hour_of_day": F.when(k % 10 == 3, 24).otherwise(F.col("hour_of_day")),
             "mrc_category": F.when(k % 12 == 1, "Casino").otherwise(F.col("mrc_category")),
@@ -277,6 +278,7 @@ SELECT txn_id, concat_ws('; ',
    CASE WHEN k % 12 = 1 THEN 'mrc_category: not an allowed value' END,
    CASE WHEN merchant AND k % 6 = 0 THEN 'mrc_size: P2P needs receiver User' END,
    CASE WHEN k % 4 IN (1, 2) THEN 'upi_id: not a payment address' END,
+   CASE WHEN k % 20 = 7 THEN 'amount: must be above 0' END,
    CASE WHEN k % 10 = 3 THEN 'hour_of_day: missing or out of range' END,
    CASE WHEN k % 25 = 2 THEN 'user_loyalty_score: missing or out of range' END) AS reasons
 FROM t""")

@@ -37,16 +37,33 @@ def _sum_when(condition: Column) -> Column:
 
 # --- totals ---------------------------------------------------------------------------
 
-def total_spent_month(ledger: DataFrame, as_of: datetime) -> DataFrame:
-    """Spend since the month began, fraud included; users without any show 0."""
-    inside = since("ts", month_start(as_of)) & is_spend()
-    return ledger.groupBy("user_id").agg(_sum_when(inside).alias("total"))
+def _total_per_user(ledger: DataFrame, inside: Column, users: DataFrame | None) -> DataFrame:
+    if users is None:
+        return ledger.groupBy("user_id").agg(_sum_when(inside).alias("total"))
+    sums = ledger.filter(inside).groupBy("user_id").agg(F.sum("amount").alias("total"))
+    return (
+        users.select("user_id")
+        .join(sums, "user_id", "left")
+        .withColumn("total", F.coalesce("total", F.lit(0.0)))
+    )
 
 
-def total_spend_between(ledger: DataFrame, start: datetime, end: datetime | None = None) -> DataFrame:
+def total_spent_month(
+    ledger: DataFrame, as_of: datetime, users: DataFrame | None = None
+) -> DataFrame:
+    """Spend since the month began, fraud included; users without any show 0.
+
+    With `users` given, only the month is read; without, the ledger says who the users are.
+    """
+    return _total_per_user(ledger, since("ts", month_start(as_of)) & is_spend(), users)
+
+
+def total_spend_between(
+    ledger: DataFrame, start: datetime, end: datetime | None = None, users: DataFrame | None = None
+) -> DataFrame:
     """Non-fraud spend from `start` (to `end`); users without any show 0."""
     inside = since("ts", start, end) & is_spend() & ~F.col("is_fraud")
-    return ledger.groupBy("user_id").agg(_sum_when(inside).alias("total"))
+    return _total_per_user(ledger, inside, users)
 
 
 def category_spend(

@@ -117,8 +117,12 @@ def test_export_quotes_and_order(spark):
 
 
 def test_filters_reach_the_scan(views):
-    plan = finance.month_over_month(views.ledger, AS_OF)._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+    df = finance.month_over_month(views.ledger, AS_OF)
+    plan = views.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    pushed = next(line for line in plan.splitlines() if line.startswith("PushedFilters"))
+    assert "GreaterThanOrEqual(o_orderdate" in pushed and "LessThan(o_orderdate" in pushed
+    read = next(line for line in plan.splitlines() if line.startswith("ReadSchema"))
+    assert "o_orderstatus" not in read
 
 
 def test_state(spark):
