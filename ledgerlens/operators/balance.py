@@ -137,7 +137,8 @@ def balance(
     donors = with_dense_number(minority.select(key, *others), key, seed).drop(key)
     n = minority.agg(F.count("*")).scalar()
     number = F.pmod(hash32(seed, F.lit("d"), "seed_id", "copy"), n)
-    synthetic = made.withColumn("number", number).join(donors, "number")
+    # Every number has its donor; a left join leaves the hash out of any pushed-down test.
+    synthetic = made.withColumn("number", number).join(donors, "number", "left")
     kinds = {f.name: f.dataType for f in train.schema.fields}
     # Interpolated values lie between whole numbers, so those columns widen to double.
     real = train.withColumns({f: F.col(f).cast("double") for f in features})

@@ -372,22 +372,20 @@ EXPORT_HEADER = {
 }
 
 
-def write_export(rows: DataFrame, path: str) -> None:
-    """RFC-4180 CSV, newest first inside each user's folder."""
+def write_export(rows: DataFrame, path: str, folder_per_user: bool = False) -> None:
+    """RFC-4180 CSV, each user's rows together and newest first.
+
+    Files are cut by ranges of (user, time), so a user with very many rows spans several.
+    With `folder_per_user`, for few users, each user's files hold the six columns only.
+    """
     named = rows.select(
         "user_id", "ts", "txn_id", *[F.col(c).alias(h) for c, h in EXPORT_HEADER.items()]
     )
-    (
-        # Splitting a user by month keeps the largest user from filling one task.
-        named.repartition("user_id", F.date_format("ts", "yyyy-MM"))
-        .sortWithinPartitions("user_id", F.col("ts").desc(), "txn_id")
-        .drop("ts", "txn_id")
-        .write.partitionBy("user_id")
-        .option("header", True)
-        .option("escape", '"')
-        .mode("errorifexists")
-        .csv(path)
-    )
+    order = ["user_id", F.col("ts").desc(), "txn_id"]
+    writer = named.repartitionByRange(*order).sortWithinPartitions(*order).drop("ts", "txn_id").write
+    if folder_per_user:
+        writer = writer.partitionBy("user_id")
+    writer.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
 
 
 def monthly_report(ledger: DataFrame, budgets: DataFrame, as_of: datetime) -> DataFrame:

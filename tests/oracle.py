@@ -40,7 +40,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
             if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
                 vals.append("~")
             elif isinstance(x, float):
-                vals.append(repr(x + 0.0))
+                vals.append(repr(x))
             else:
                 vals.append(str(x))
         out.append(tuple(vals))

@@ -107,9 +107,9 @@ def test_report_sections(spark):
 def test_export_quotes_and_order(spark):
     df = ledger(spark, (1, "2025-04-02 15:04:00", "Food", 1234.5, False, 'A "B", C'), (1, "2025-04-03", "Food", 2.0), (1, "2025-04-03", "Food", 3.0, True))
     folder = scratch_folder(spark, "export")
-    finance.write_export(finance.export_rows(df, datetime(2025, 4, 1), AS_OF), folder)
-    text = [r for f in glob.glob(f"{folder}/user_id=1/*.csv") for r in csv.reader(open(f, newline=""))]
-    assert text == [
+    finance.write_export(finance.export_rows(df, datetime(2025, 4, 1), AS_OF), folder, folder_per_user=True)
+    text = [r for f in sorted(glob.glob(f"{folder}/user_id=1/*.csv")) for r in csv.reader(open(f, newline=""))]
+    assert [r for i, r in enumerate(text) if i == 0 or r[0] != "Date"] == [
         ["Date", "Payee", "Category", "Amount (INR)", "Fraud Score", "Alert Level"],
         ["03 Apr 2025, 12:00 AM", "P1", "Food", "2.00", "0.5000", "low"],
         ["02 Apr 2025, 03:04 PM", 'A "B", C', "Food", "1234.50", "0.5000", "low"],
