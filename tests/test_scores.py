@@ -90,7 +90,7 @@ def reasons(spark, **changes):
 
 def test_valid_records(spark):
     assert reasons(spark) == []
-    for good in ["user@oksbi", "nishika.chapra@ybl", "test-user@paytm"]:
+    for good in ["user@oksbi", "first.last@ybl", "test-user@paytm"]:
         assert reasons(spark, upi_id=good) == []
     for empty in ["mrc_rating", "device_risk_score", "ip_risk_score"]:
         assert reasons(spark, **{empty: None}) == []
