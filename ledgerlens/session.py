@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def get_session(app: str = "ledgerlens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with a fixed zone and adaptive execution; `conf` keys use `__` for dots."""
@@ -23,14 +26,26 @@ def get_session(app: str = "ledgerlens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    A folder of our own is used only where the cluster names none (single machine, tests).
+    On one machine (a local master) a temporary folder stands in for it. On a cluster there is no
+    such stand-in: every executor would write to its own disk.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    key = spark.sparkContext.applicationId
+    if key not in _LOCAL:
+        _LOCAL[key] = tempfile.mkdtemp(prefix="ledgerlens-shared-")
+    return _LOCAL[key]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerlens-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.session import shared_folder
+
 
 def read_evolving(spark: SparkSession, path: str) -> DataFrame:
     """Read all versions of a table; columns a version lacks are null in its rows."""
@@ -14,11 +15,5 @@ def read_evolving(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder of the cluster.
-
-    Only where the cluster names none (single machine, tests) is it a local one.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return f"{tempfile.mkdtemp(prefix='ledgerlens-')}/{name}"
+    """A new folder under the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
