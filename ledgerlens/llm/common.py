@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +74,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v"), F.col("v")).distinct())
+
+
+def each_group(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+    """What `fn` lists for every group of rows, which must be bounded, for very many small groups.
+
+    Rows are dealt by the keys and sorted; a task walks over the Arrow batches and cuts them where
+    the keys change, so that a group of two rows costs no batch of its own.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for pdf in batches:
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            new = np.zeros(len(pdf), bool)
+            for k in keys:
+                v = pdf[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            starts = [0, *np.flatnonzero(new).tolist()]
+            out = [row for a, b in zip(starts, starts[1:]) for row in fn(pdf.iloc[a:b])]
+            rest = pdf.iloc[starts[-1] :]
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if rest is not None and len(rest):
+            yield pd.DataFrame(fn(rest), columns=columns)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
