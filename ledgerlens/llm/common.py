@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import shared_folder
+from ledgerlens.session import shared_folder  # noqa: F401
 
 # How words are cut.
 SPACED = r"[^\x20\x09-\x0D]+"
