@@ -26,7 +26,6 @@ from ledgerlens.llm.common import saved
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-MEMO = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -64,38 +63,41 @@ def grams_of(word: str, order: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language; `floors`: what an unseen entry of each kind scores."""
+    """Log frequencies by language: for words, then for the n-grams of each order, the row of every
+    entry and the rows, one column a language."""
 
     languages: list[str]
-    tables: list[dict[str, np.ndarray]]  # words, then n-grams by the orders of `settings`
+    rows: list[dict[str, int]]
+    scores: list[np.ndarray]
     settings: Settings
 
-    def word(self, word: str) -> np.ndarray:
-        found = self.tables[0].get(word)
-        if found is not None:
-            return found
-        for order, table in zip(self.settings.orders, self.tables[1:]):
-            known = [table[g] for g in grams_of(word, order) if g in table]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.languages))
-
-    def predict(self, text: str | None, memo: dict[str, np.ndarray]) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the likelihood; `und` and 0 without a letter or a model."""
-        counts = Counter(tokens(text, self.settings.longest))
-        if not counts or not self.languages:
+        found = tokens(text, self.settings.longest)
+        if not found or not self.languages:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.languages))
-        for w, n in counts.items():
-            score = memo.get(w)
-            if score is None:
-                score = self.word(w)
-                if len(memo) < MEMO:
-                    memo[w] = score
-            total += n * score
+        known, unseen = [], []
+        row = self.rows[0].get
+        for w in found:
+            at = row(w)
+            known.append(at) if at is not None else unseen.append(w)
+        total = self.scores[0][known].sum(axis=0)
+        flat: list[list[int]] = [[] for _ in self.settings.orders]
+        sizes: list[list[int]] = [[] for _ in self.settings.orders]
+        for w in unseen:
+            for k, order in enumerate(self.settings.orders):
+                table = self.rows[k + 1]
+                at = [table[g] for g in grams_of(w, order) if g in table]
+                if at:
+                    flat[k] += at
+                    sizes[k].append(len(at))
+                    break
+        for k, n in enumerate(sizes):
+            if n:
+                each = np.repeat(1.0 / np.array(n), n)
+                total = total + each @ self.scores[k + 1][flat[k]]
         best = int(np.argmax(total))
-        share = 1 / np.exp(total - total[best]).sum()
-        return self.languages[best], float(share)
+        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def learn(labelled: DataFrame, settings: Settings = Settings(), text: str = "text", lang: str = "lang") -> Model:
@@ -108,20 +110,26 @@ def learn(labelled: DataFrame, settings: Settings = Settings(), text: str = "tex
     for name, part in shares.items():
         keep = keep | ((F.col("lang") == name) & (drawn < part))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns, schema = ["lang", "kind", "gram", "n"], "lang string, kind int, gram string, n bigint"
+
+    def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen = {name: Counter(w for t in part for w in tokens(t, settings.longest)) for name, part in pdf.groupby("lang")["text"]}
+            yield pd.DataFrame([(name, 0, w, n) for name, c in seen.items() for w, n in c.items()], columns=columns)
+
+    def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found: Counter = Counter()
-            for name, part in pdf.groupby("lang")["text"]:
-                seen = Counter(w for t in part for w in tokens(t, settings.longest))
-                for w, n in seen.items():
-                    found[(name, 0, w)] += n
-                    for k, order in enumerate(settings.orders, 1):
-                        for g in grams_of(w, order):
-                            found[(name, k, g)] += n
-            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "kind", "gram", "n"])
-
-    counts = rows.filter(keep).mapInPandas(count, "lang string, kind int, gram string, n bigint")
-    counts = saved(counts.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")), "language-counts")
+            seen: Counter = Counter()
+            for name, w, n in zip(pdf["lang"], pdf["gram"], pdf["n"]):
+                for k, order in enumerate(settings.orders, 1):
+                    for g in grams_of(w, order):
+                        seen[(name, k, g)] += n
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=columns)
+
+    total = F.sum("n").alias("n")
+    words = saved(rows.filter(keep).mapInPandas(count_words, schema).groupBy("lang", "kind", "gram").agg(total), "words")
+    grams = words.mapInPandas(count_grams, schema).groupBy("lang", "kind", "gram").agg(total)
+    counts = saved(words.union(grams), "language-counts")
     order = W.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")
     most = F.when(F.col("kind") == 0, settings.words).otherwise(settings.grams)
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
@@ -130,15 +138,16 @@ def learn(labelled: DataFrame, settings: Settings = Settings(), text: str = "tex
     languages = sorted({k[0] for k in sums})
     place = {name: i for i, name in enumerate(languages)}
     a = settings.smoothing
-    tables: list[dict[str, np.ndarray]] = []
+    tables, scores = [], []
     for kind in range(len(settings.orders) + 1):
         floor = np.array([np.log(a / (t + a * (e + 1))) for t, e in (sums.get((n, kind), (0, 0)) for n in languages)])
         table: dict[str, np.ndarray] = {}
         for r in top.filter(F.col("kind") == kind).select("lang", "gram", "n").collect():  # bounded by words and grams
-            total, entries = sums[(r["lang"], kind)]
-            table.setdefault(r["gram"], floor.copy())[place[r["lang"]]] = np.log((r["n"] + a) / (total + a * (entries + 1)))
-        tables.append(table)
-    return Model(languages, tables, settings)
+            all_n, entries = sums[(r["lang"], kind)]
+            table.setdefault(r["gram"], floor.copy())[place[r["lang"]]] = np.log((r["n"] + a) / (all_n + a * (entries + 1)))
+        tables.append({g: i for i, g in enumerate(table)})
+        scores.append(np.array(list(table.values())).reshape(len(table), len(languages)))
+    return Model(languages, tables, scores, settings)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -154,9 +163,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, np.ndarray] = {}
+        model = shared.value
         for pdf in batches:
-            found = pd.DataFrame([shared.value.predict(t, memo) for t in pdf[text]], columns=new.fieldNames(), index=pdf.index)
+            found = pd.DataFrame([model.predict(t) for t in pdf[text]], columns=new.fieldNames(), index=pdf.index)
             yield pd.concat([pdf[names], found], axis=1)
 
     return docs.select(*names).mapInPandas(run, StructType([*kept, *new.fields]))
