@@ -56,8 +56,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     smallest neighbour is found by a partial aggregate and joined back. No edges, no rows.
     """
     e = saved(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
-    mark = None
-    while True:
+    mark, live = None, e.limit(1).count()
+    while live:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

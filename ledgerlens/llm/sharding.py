@@ -106,7 +106,8 @@ def grow(rows: DataFrame, n_dims: int, leaves: int) -> tuple[list[DataFrame], Da
         cuts.append(cut)
         halves = F.array(F.col("left_k"), F.col("k") - F.col("left_k"))
         children = cut.select(F.posexplode(halves).alias("side", "k"), "node").select((2 * F.col("node") + F.col("side")).alias("node"), "k")
-        done = nodes.join(cut.select("node"), "node", "left_anti").select((2 * F.col("node")).alias("node"), "k")
+        # Leaves, and nodes that no row has reached.
+        done = nodes.join(cut.select("node"), "node", "left_anti").select((2 * F.col("node")).alias("node"), F.lit(1).cast("long").alias("k"))
         nodes = saved(children.union(done), "tree")
         most = nodes.agg(F.max("k")).first()[0]
     # One row a leaf in one task.
