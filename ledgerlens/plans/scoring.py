@@ -12,6 +12,7 @@ from ledgerlens.functions.scores import (
 from ledgerlens.functions.text import payment_app
 from ledgerlens.functions.times import calendar_columns
 from ledgerlens.operators.baseline import with_baseline
+from ledgerlens.operators.state import latest_per_key
 from ledgerlens.operators.validate import Rules, validate
 
 # What the record holds where the live client knows nothing better.
@@ -99,24 +100,29 @@ def score_batch(
     tree_score: str | None = None,
     light_trained: bool = False,
 ) -> DataFrame:
-    """Validate, measure each user's own baseline, build the record, score, set the alert.
+    """Measure each user's own baseline, build the record, validate it, score, set the alert.
 
     Rows that break a rule keep their reasons and get no score.
     """
-    checked = validate(txn, rules or {"amount must be above 0": F.col("amount") > 0})
-    record = request_features(with_baseline(checked))
-    scored = ensemble(record, threshold, tree_score, light_trained)
+    record = request_features(with_baseline(txn))
+    checked = validate(record, rules or {"amount must be above 0": F.col("amount") > 0})
+    scored = ensemble(checked, threshold, tree_score, light_trained)
     valid = F.size("reasons") == 0
     outputs = ["rules_score", "light_lr_score", "ensemble_score", "is_fraud", "alert_level", "action"]
     return scored.withColumns({c: F.when(valid, F.col(c)) for c in outputs})
 
 
 def apply_verdicts(ledger: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Write score, verdict and level back by transaction id; the rest is unchanged."""
+    """Write score, verdict and level back by user, where both sides name one, and transaction id.
+
+    Of several verdicts for one transaction the highest score counts; the rest is unchanged.
+    """
     names = ["fraud_score", "is_fraud", "alert_level"]
-    new = verdicts.select("txn_id", *[F.col(c).alias(f"__{c}") for c in names])
+    keys = [k for k in ("user_id", "txn_id") if k in ledger.columns and k in verdicts.columns]
+    one = latest_per_key(verdicts.select(*keys, *names), keys, names)
+    new = one.select(*keys, *[F.col(c).alias(f"__{c}") for c in names])
     return (
-        ledger.join(new, "txn_id", "left")
+        ledger.join(new, keys, "left")
         .withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in names})
         .drop(*[f"__{c}" for c in names])
     )

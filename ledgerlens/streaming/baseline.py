@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -132,17 +132,23 @@ def baseline_stream(
     days: int = 90,
     min_rows: int = 5,
     slice_length: timedelta = timedelta(days=1),
+    clock: Column | None = None,
+    ahead: timedelta = timedelta(days=1),
 ) -> DataFrame:
     """The columns of `with_baseline` on a stream.
 
     State is read before a row is added to it. Rows that arrive late enter the state but
-    do not change what was already sent on.
+    do not change what was already sent on. Rows dated more than `ahead` after the clock, by
+    default the time of the trigger, are treated like rows without a time: they see no history and
+    leave none, so that a wrong date cannot push a user's state out of the window.
     """
+    now = F.current_timestamp() if clock is None else clock
+    dated = F.col(ts).cast("timestamp") <= now.cast("timestamp") + F.expr(f"INTERVAL {int(ahead.total_seconds())} SECONDS")
     us = timedelta(microseconds=1)
     outputs = ["__n", "__x", "__xx", "__hn", "__h", "__hh"]
     prepared = txn.withColumns(
         {
-            "row_at": micros(ts),
+            "row_at": F.when(dated, micros(ts)),
             "row_amount": F.col(amount).cast("double"),
             "row_hour": F.col(hour).cast("double"),
         }

@@ -81,17 +81,17 @@ def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
 # --- running --------------------------------------------------------------------------
 
 class _stream_settings:
-    """Keep state in RocksDB, over no more partitions than two rounds of the cluster's cores."""
+    """Keep state in RocksDB, over the given number of partitions or else the session's."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, partitions: int | None = None):
+        self.spark, self.partitions = spark, partitions
 
     def __enter__(self):
         conf = self.spark.conf
         self.before = {k: conf.get(k, None) for k in (PROVIDER, PARTITIONS)}
         conf.set(PROVIDER, ROCKSDB)
-        cores = self.spark.sparkContext.defaultParallelism
-        conf.set(PARTITIONS, str(min(int(self.before[PARTITIONS] or 200), 2 * cores)))
+        if self.partitions is not None:
+            conf.set(PARTITIONS, str(self.partitions))
 
     def __exit__(self, *_):
         for k, value in self.before.items():
@@ -107,11 +107,13 @@ def run_available(
     mode: str = "append",
     each_batch: Callable[[DataFrame, int], None] | None = None,
     name: str = "out",
+    state_partitions: int | None = None,
 ) -> list[dict]:
     """Process what is there and stop; progress is kept in `folder`, so a rerun continues.
 
     Batches go to Parquet under `folder`/`name`. In update mode each batch is a folder
-    of its own, written over when a batch is replayed.
+    of its own, written over when a batch is replayed. `state_partitions` is frozen in the
+    checkpoint by the first run: set it for the size that the state will reach.
     """
     def write_batch(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
@@ -123,7 +125,7 @@ def run_available(
         writer = writer.format("parquet").option("path", f"{folder}/{name}")
     else:
         writer = writer.foreachBatch(write_batch)
-    with _stream_settings(stream.sparkSession):
+    with _stream_settings(stream.sparkSession, state_partitions):
         running = writer.trigger(availableNow=True).start()
         running.awaitTermination()
     return running.recentProgress

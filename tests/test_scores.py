@@ -115,3 +115,31 @@ def test_payload_keeps_nulls(spark):
     packed = df.select(to_payload(df).alias("p"))
     assert '"mrc_rating":null' in packed.first().p
     assert packed.select(from_payload("p", df.schema).alias("r")).select("r.*").collect() == df.collect()
+
+
+def test_repeated_verdicts_do_not_multiply_the_ledger(spark):
+    from ledgerlens.plans.scoring import apply_verdicts
+
+    ledger = spark.createDataFrame([(1, "a", 0.0, False, "none"), (2, "a", 0.0, False, "none")],
+                                   "user_id long, txn_id string, fraud_score double, is_fraud boolean, alert_level string")
+    verdicts = spark.createDataFrame([(1, "a", 0.3, False, "low"), (1, "a", 0.8, True, "high")], ledger.schema)
+    rows = {r.user_id: (r.fraud_score, r.alert_level) for r in apply_verdicts(ledger, verdicts).collect()}
+    assert rows == {1: (0.8, "high"), 2: (0.0, "none")} and apply_verdicts(ledger, verdicts).count() == 2
+
+
+def test_shared_folder_is_demanded_on_a_cluster(monkeypatch):
+    import pytest
+    from ledgerlens.session import shared_folder
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Fake())
+    Fake.conf["spark.checkpoint.dir"] = "file:///shared/"
+    assert shared_folder(Fake()) == "file:///shared"
