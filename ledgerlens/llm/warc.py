@@ -29,6 +29,8 @@ from ledgerlens.llm.common import join_small, saved, shared_folder
 #: Compressed bytes after which a task begins its next archive.
 ROLL = 32 << 20
 SMALLEST_REVISIT = 100
+#: Archive bytes that one reading task has.
+READ_BYTES = 128 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 RECORD = "archive string, offset bigint, length bigint, page_id bigint, record_type string"
 CONTENT = "page_id bigint, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
@@ -155,7 +157,10 @@ def member_start(f, members: dict[str, tuple[int, int, int]], name: str) -> int:
 
 
 def list_records(archives: DataFrame, folder: str) -> DataFrame:
-    """The place of every record of the archives, from their indexes: (archive, offset, length, page_id, record_type)."""
+    """The place of every record, from the archives' indexes: (archive, offset, length, page_id, record_type).
+
+    `archives` has (archive, bytes).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = fs.FileSystem.from_uri(folder)
@@ -179,7 +184,10 @@ def list_records(archives: DataFrame, folder: str) -> DataFrame:
                             rows.append((path, starts[where] + int(x["offset"]), int(x["length"]), x.get("id"), kind))
                 yield pd.DataFrame(rows, columns=["archive", "offset", "length", "page_id", "record_type"])
 
-    return archives.select("archive").repartition("archive").mapInPandas(run, RECORD)
+    # Paths are few bytes: the number of tasks follows the archives, not the size of this table.
+    n, total = archives.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, total // READ_BYTES, min(n, archives.sparkSession.sparkContext.defaultParallelism))
+    return archives.select("archive").repartition(tasks).mapInPandas(run, RECORD)
 
 
 def parsed(raw: bytes) -> tuple:
