@@ -1,7 +1,9 @@
 """Stupid-backoff scores of documents, computed by joins.
 
-Texts become rows (document, history, word, times), counted within the document first. Counts of
-word pairs and of words are aggregates of these rows, dealt by hash. A pair that another document
+Documents are gathered in blocks of some hundred thousand words; a block names its distinct words
+once and holds its pairs of neighbouring words as rows of arrays. Every block sends its distinct
+grams with their counts to hash partitions, the n-gram count tables, and is joined with the totals
+that come back, so a gram travels once a block and not once a document. A pair that another document
 has too scores log(pairs / histories); other words score log(backoff * words / all words), with the
 document's own occurrences left out of every count. Scores are summed per document.
 """
@@ -13,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,11 @@ from ledgerlens.llm.common import saved
 from ledgerlens.llm.neardup import WordHash, mixed
 
 START = np.uint64(0x5354415254)
+WORD, HISTORY = np.uint64(0x574F5244), np.uint64(0x48495354)
+#: Words of a block, a longer text aside; rows of a block; grams of a partition of the count tables.
+BLOCK_WORDS, BLOCK_ROWS, PARTITION_GRAMS = 400_000, 20_000, 200_000
+BLOCK = ("block bigint, ids array<string>, lengths array<int>, vocabulary array<bigint>, pairs array<bigint>, "
+         "cells array<int>, times array<int>, n_words bigint, n_grams bigint")
 
 
 @dataclass(frozen=True)
@@ -30,31 +38,96 @@ class Settings:
     smoothing: float = 0.5
 
 
-def pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, history, word, n): distinct word pairs of every row of `docs`, as 64-bit hashes.
+def block_of(number: int, ids: list, texts: list[np.ndarray]) -> dict:
+    """The row of a block. Ascending numbers are kept as steps, which compress well.
 
-    `doc` is the hash of id and text.
+    A pair is history * width + word, both places in the vocabulary, whose place 0 is the start of
+    a text. A cell is a pair of a document: document * pairs + pair, without documents of no words.
     """
+    lengths = np.array([len(t) for t in texts], np.int64)
+    words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    vocabulary, at = np.unique(words, return_inverse=True)
+    vocabulary, at = np.concatenate([[START], vocabulary]), at + 1
+    full = lengths[lengths > 0]
+    before = np.concatenate([[0], at[:-1]])[: len(at)]
+    before[np.cumsum(full) - full] = 0
+    pairs, pair = np.unique(before * len(vocabulary) + at, return_inverse=True)
+    cells, times = np.unique(np.repeat(np.arange(len(full)), full) * len(pairs) + pair, return_counts=True)
+    return {"block": number, "ids": ids, "lengths": lengths, "vocabulary": vocabulary.view(np.int64), "pairs": np.diff(pairs, prepend=0),
+            "cells": np.diff(cells, prepend=0), "times": times, "n_words": len(words), "n_grams": len(pairs) + 2 * len(vocabulary)}
+
+
+def blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """`docs` in blocks of whole documents; see `block_of`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHash()
+        memo, number = WordHash(), TaskContext.get().partitionId() << 32
+        ids, texts, n = [], [], 0
         for pdf in batches:
-            for start in range(0, len(pdf), 500):
-                parts = []
-                for doc, value in zip(pdf["doc"].iloc[start : start + 500], pdf[text].iloc[start : start + 500]):
-                    words = value.encode("utf-8", "surrogatepass").lower().split() if value else []
-                    if not words:
-                        continue
-                    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-                    before = np.concatenate([[START], h[:-1]])
-                    both = np.stack([before, h])
-                    _, first, n = np.unique(mixed(before * np.uint64(31) + h), return_index=True, return_counts=True)
-                    parts.append((np.full(len(n), doc), both[0][first].view(np.int64), both[1][first].view(np.int64), n))
-                if parts:
-                    yield pd.DataFrame(dict(zip(("doc", "history", "word", "n"), map(np.concatenate, zip(*parts)))))
-
-    named = docs.select(F.xxhash64(doc_id, text).alias("doc"), text)
-    return named.mapInPandas(run, "doc bigint, history bigint, word bigint, n bigint")
+            for name, value in zip(pdf["_id"], pdf["_text"]):
+                words = value.encode("utf-8", "surrogatepass").lower().split() if value else []
+                ids.append(name)
+                texts.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
+                n += len(words)
+                if n >= BLOCK_WORDS or len(ids) >= BLOCK_ROWS:
+                    yield pd.DataFrame([block_of(number, ids, texts)])
+                    number, ids, texts, n = number + 1, [], [], 0
+        if ids:
+            yield pd.DataFrame([block_of(number, ids, texts)])
+
+    return docs.select(F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("_text")).mapInPandas(run, BLOCK)
+
+
+class Block:
+    """The columns of a block's row as numbers; `keys` and `counts` are those of its grams: pairs, words, histories."""
+
+    def __init__(self, row, partitions: int) -> None:
+        self.vocabulary = np.asarray(row.vocabulary, np.int64).view(np.uint64)
+        self.history, self.word = np.divmod(np.cumsum(np.asarray(row.pairs, np.int64)), len(self.vocabulary))
+        self.document, self.pair = np.divmod(np.cumsum(np.asarray(row.cells, np.int64)), max(len(self.word), 1))
+        self.times = np.asarray(row.times, np.int64)
+        v, width = self.vocabulary, len(self.vocabulary)
+        self.keys = mixed(np.concatenate([mixed(v[self.history] * np.uint64(31) + v[self.word]), v ^ WORD, v ^ HISTORY]))
+        each = self.sums(self.pair, self.times, len(self.word))
+        self.counts = np.concatenate([each, self.sums(self.word, each, width), self.sums(self.history, each, width)])
+        partition = (self.keys % np.uint64(partitions)).astype(np.int64)
+        self.order = np.argsort(partition, kind="stable")
+        self.partition = partition[self.order]
+
+    @staticmethod
+    def sums(place: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(place, values, size).astype(np.int64)
+
+    def own(self, of_pair: np.ndarray) -> np.ndarray:
+        """For every cell, how often its document has the word, or history, that `of_pair` gives for its pair."""
+        _, place = np.unique(self.document * len(self.vocabulary) + of_pair[self.pair], return_inverse=True)
+        return self.sums(place, self.times, 0)[place]
+
+
+def sent(held: DataFrame, partitions: int) -> DataFrame:
+    """(partition, block, keys, counts): the grams of every block by hash partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                b = Block(row, partitions)
+                names, first = np.unique(b.partition, return_index=True)
+                keys, counts = (np.split(x[b.order], first[1:]) for x in (b.keys.view(np.int64), b.counts))
+                yield pd.DataFrame({"partition": names, "block": row.block, "keys": keys, "counts": counts})
+
+    return held.mapInPandas(run, "partition bigint, block bigint, keys array<bigint>, counts array<bigint>")
+
+
+def totals(grams: DataFrame) -> DataFrame:
+    """(block, partition, totals): the corpus's count of every gram that a block has sent, in its order."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, place = np.unique(np.concatenate(pdf["keys"].to_list()), return_inverse=True)
+        total = np.bincount(place, np.concatenate(pdf["counts"].to_list())).astype(np.int64)[place]
+        found = np.split(total, np.cumsum(pdf["keys"].map(len))[:-1])
+        return pd.DataFrame({"block": pdf["block"], "partition": pdf["partition"], "totals": found})
+
+    return grams.groupBy("partition").applyInPandas(count, "block bigint, partition bigint, totals array<bigint>")
 
 
 def score_documents(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -65,25 +138,30 @@ def score_documents(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     and scores as the other does. An empty table gives an empty one. Extra columns are not read.
     """
     s = settings
-    grams = saved(pairs(docs, doc_id, text), "grams")
-    words = saved(grams.groupBy("word").agg(F.sum("n").alias("of_word")), "words")
-    all_words = words.agg(F.coalesce(F.sum("of_word"), F.lit(0))).first()[0]
-    both = grams.groupBy("history", "word").agg(F.sum("n").alias("of_pair"), F.count("*").alias("docs")).filter("docs > 1").drop("docs")
-    histories = grams.groupBy("history").agg(F.sum("n").alias("of_history"))
-    known = saved(both.join(histories, "history"), "pairs")  # pairs that one document has alone back off
-    own = grams.groupBy("doc", "word").agg(F.sum("n").alias("own_word"))
-    scored = grams.join(known, ["history", "word"], "left")
-    here = scored.filter("of_pair IS NOT NULL").withColumn(
-        "log_score", F.col("n") * F.log((F.col("of_pair") - F.col("n")) / F.greatest(F.col("of_history") - F.col("n"), F.lit(1))))
-    hits = here.groupBy("doc").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("off"), F.sum("log_score").alias("log_score"))
-    rest = scored.filter("of_pair IS NULL").groupBy("doc", "word").agg(F.sum("n").alias("n"))
-    rest = rest.join(own, ["doc", "word"]).join(words, "word")
-    seen = F.greatest(F.col("of_word") - F.col("own_word"), F.lit(s.smoothing))
-    rest = rest.withColumn("log_score", F.col("n") * F.log(s.backoff * seen / F.lit(float(max(all_words, 1)))))
-    backed = rest.groupBy("doc").agg(F.sum("n").alias("n"), F.sum("n").alias("off"), F.sum("log_score").alias("log_score"))
-    sums = hits.union(backed).groupBy("doc").agg(F.sum("n").alias("n"), F.sum("off").alias("off"), F.sum("log_score").alias("log_score"))
-    named = docs.select(F.col(doc_id), F.xxhash64(doc_id, text).alias("doc")).groupBy("doc", doc_id).agg(F.count("*").alias("rows"))
-    rows = named.join(sums, "doc", "left").withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    each = lambda c: F.floor(F.coalesce(c, F.lit(0)) / F.col("rows")).alias
-    return rows.select(doc_id, each("n")("n_tokens"), each("off")("n_backed_off"),
-                       (F.coalesce("log_score", F.lit(0.0)) / F.col("rows")).alias("log_score"), (F.col("log_score") / F.col("n")).alias("mean_log_score"))
+    held = saved(blocks(docs, doc_id, text), "blocks", "zstd")
+    n_words, n_grams = held.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_grams"), F.lit(0))).first()
+    partitions = 1 + n_grams // PARTITION_GRAMS
+
+    def score(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        row = next(blocks.itertuples())
+        b = Block(row, partitions)
+        total = np.empty(len(b.order), np.int64)
+        total[b.order] = np.concatenate(answers.sort_values("partition")["totals"].to_list())
+        of_pair, of_word, of_history = np.split(total, [len(b.word), len(b.word) + len(b.vocabulary)])
+        of_pair, n = of_pair[b.pair], b.times
+        seen = np.maximum(of_word[b.word][b.pair] - b.own(b.word), s.smoothing)
+        rest = np.maximum(of_history[b.history][b.pair] - b.own(b.history), 1)
+        known = of_pair > n  # another document has the pair
+        each = n * np.log(np.where(known, np.maximum(of_pair - n, 1) / rest, s.backoff * seen / max(n_words, 1)))
+        lengths = np.asarray(row.lengths, np.int64)
+        full = lengths > 0
+        off, sums = np.zeros(len(lengths), np.int64), np.zeros(len(lengths))
+        off[full] = b.sums(b.document, n * ~known, full.sum())
+        sums[full] = np.bincount(b.document, each, full.sum())
+        return pd.DataFrame({"id": row.ids, "n_tokens": lengths, "n_backed_off": off, "log_score": sums})
+
+    answers = totals(sent(held, partitions))
+    scored = held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+        score, "id string, n_tokens bigint, n_backed_off bigint, log_score double")
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).alias("mean_log_score")
+    return scored.select(F.col("id").cast(docs.schema[doc_id].dataType).alias(doc_id), "n_tokens", "n_backed_off", "log_score", mean)

@@ -256,6 +256,38 @@ def test_language_model(spark, docs, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_language_model_blocks(spark, none, monkeypatch):
+    """Several blocks and count partitions give what brute force gives."""
+    from collections import Counter
+    from math import log
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 150)
+    monkeypatch.setattr(lm, "PARTITION_GRAMS", 40)
+    rows = [(i, " ".join(prose(i % 7, 40 + i).split()[i % 5:])) for i in range(30)] + [(30, None), (31, " \n"), (32, prose(3, 900)), (32, prose(3, 900)), (None, "One TWO one")]
+    cells = [Counter(zip([None, *w], w)) for w in ((t or "").lower().split() for _, t in rows)]
+    pair = sum(cells, Counter())
+    history, word = Counter(), Counter()
+    for (h, w), n in pair.items():
+        history[h] += n
+        word[w] += n
+    want = []
+    for (i, _), c in zip(rows, cells):
+        own_h, own_w, off, score = Counter(), Counter(), 0, 0.0
+        for (h, w), n in c.items():
+            own_h[h] += n
+            own_w[w] += n
+        for (h, w), n in c.items():
+            if pair[h, w] > n:
+                score += n * log((pair[h, w] - n) / (history[h] - own_h[h]))
+            else:
+                off += n
+                score += n * log(0.4 * max(word[w] - own_w[w], 0.5) / sum(word.values()))
+        want.append((i, sum(c.values()), off, round(score, 6)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm.score_documents(docs).collect()
+    same([(r.doc_id, r.n_tokens, r.n_backed_off, round(r.log_score, 6)) for r in got], want)
+    assert lm.score_documents(docs.limit(0)).count() == 0
+
+
 def test_warc(spark):
     big = "<p>" + "x" * 200 + "</p>"
     rows = [(5, "http://a/1", big), (2, "http://a 2", big), (9, None, big), (2, "http://a/2", big), (7, "u", None), (8, "u", ""), (10, "u", "short"),
