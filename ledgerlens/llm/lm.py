@@ -10,24 +10,26 @@ document's own occurrences left out of every count. Scores are summed per docume
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import saved
-from ledgerlens.llm.neardup import WordHash, mixed
+from ledgerlens.llm.neardup import mixed
 
 START = np.uint64(0x5354415254)
 WORD, HISTORY = np.uint64(0x574F5244), np.uint64(0x48495354)
 #: Words of a block, a longer text aside; rows of a block; grams of a partition of the count tables.
-BLOCK_WORDS, BLOCK_ROWS, PARTITION_GRAMS = 400_000, 20_000, 200_000
-BLOCK = ("block bigint, ids array<string>, lengths array<int>, vocabulary array<bigint>, pairs array<bigint>, "
-         "cells array<int>, times array<int>, n_words bigint, n_grams bigint")
+BLOCK_WORDS, BLOCK_ROWS, PARTITION_GRAMS = 800_000, 20_000, 200_000
+BLOCK = ("block bigint, ids array<string>, lengths binary, vocabulary binary, pairs binary, cells binary, times binary, "
+         "n_words bigint, n_grams bigint")
 
 
 @dataclass(frozen=True)
@@ -38,61 +40,86 @@ class Settings:
     smoothing: float = 0.5
 
 
-def block_of(number: int, ids: list, texts: list[np.ndarray]) -> dict:
+def packed(numbers: np.ndarray) -> bytes:
+    """Longs as compressed bytes, those of equal rank together, as most of the numbers are small."""
+    return zlib.compress(np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+class Places(dict):
+    """Numbers words from 1 as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self) + 1
+        return place
+
+
+def block_of(number: int, ids: list, texts: list[np.ndarray], words: Places) -> dict:
     """The row of a block. Ascending numbers are kept as steps, which compress well.
 
     A pair is history * width + word, both places in the vocabulary, whose place 0 is the start of
     a text. A cell is a pair of a document: document * pairs + pair, without documents of no words.
     """
     lengths = np.array([len(t) for t in texts], np.int64)
-    words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-    vocabulary, at = np.unique(words, return_inverse=True)
-    vocabulary, at = np.concatenate([[START], vocabulary]), at + 1
+    at = np.concatenate(texts)
+    vocabulary = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    vocabulary = np.concatenate([[START], vocabulary]).view(np.int64)
     full = lengths[lengths > 0]
     before = np.concatenate([[0], at[:-1]])[: len(at)]
     before[np.cumsum(full) - full] = 0
     pairs, pair = np.unique(before * len(vocabulary) + at, return_inverse=True)
     cells, times = np.unique(np.repeat(np.arange(len(full)), full) * len(pairs) + pair, return_counts=True)
-    return {"block": number, "ids": ids, "lengths": lengths, "vocabulary": vocabulary.view(np.int64), "pairs": np.diff(pairs, prepend=0),
-            "cells": np.diff(cells, prepend=0), "times": times, "n_words": len(words), "n_grams": len(pairs) + 2 * len(vocabulary)}
+    return {"block": number, "ids": ids, "lengths": packed(lengths), "vocabulary": vocabulary.tobytes(),
+            "pairs": packed(np.diff(pairs, prepend=0)), "cells": packed(np.diff(cells, prepend=0)), "times": packed(times),
+            "n_words": len(at), "n_grams": len(pairs) + len(vocabulary)}
 
 
 def blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """`docs` in blocks of whole documents; see `block_of`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, number = WordHash(), TaskContext.get().partitionId() << 32
-        ids, texts, n = [], [], 0
+        number = TaskContext.get().partitionId() << 32
+        ids, texts, places, n = [], [], Places(), 0
         for pdf in batches:
             for name, value in zip(pdf["_id"], pdf["_text"]):
                 words = value.encode("utf-8", "surrogatepass").lower().split() if value else []
                 ids.append(name)
-                texts.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
+                texts.append(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))
                 n += len(words)
                 if n >= BLOCK_WORDS or len(ids) >= BLOCK_ROWS:
-                    yield pd.DataFrame([block_of(number, ids, texts)])
-                    number, ids, texts, n = number + 1, [], [], 0
+                    yield pd.DataFrame([block_of(number, ids, texts, places)])
+                    number, ids, texts, places, n = number + 1, [], [], Places(), 0
         if ids:
-            yield pd.DataFrame([block_of(number, ids, texts)])
+            yield pd.DataFrame([block_of(number, ids, texts, places)])
 
     return docs.select(F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("_text")).mapInPandas(run, BLOCK)
 
 
 class Block:
-    """The columns of a block's row as numbers; `keys` and `counts` are those of its grams: pairs, words, histories."""
+    """The columns of a block's row as numbers.
+
+    `keys` are those of its grams, pairs first and then words; `counts` has their counts, and in a
+    second row the words' counts as histories.
+    """
 
     def __init__(self, row, partitions: int) -> None:
-        self.vocabulary = np.asarray(row.vocabulary, np.int64).view(np.uint64)
-        self.history, self.word = np.divmod(np.cumsum(np.asarray(row.pairs, np.int64)), len(self.vocabulary))
-        self.document, self.pair = np.divmod(np.cumsum(np.asarray(row.cells, np.int64)), max(len(self.word), 1))
-        self.times = np.asarray(row.times, np.int64)
-        v, width = self.vocabulary, len(self.vocabulary)
-        self.keys = mixed(np.concatenate([mixed(v[self.history] * np.uint64(31) + v[self.word]), v ^ WORD, v ^ HISTORY]))
+        v = np.frombuffer(row.vocabulary, np.uint64)
+        self.width = len(v)
+        self.history, self.word = np.divmod(np.cumsum(unpacked(row.pairs)), self.width)
+        self.document, self.pair = np.divmod(np.cumsum(unpacked(row.cells)), max(len(self.word), 1))
+        self.times, self.lengths = unpacked(row.times), unpacked(row.lengths)
+        self.keys = mixed(np.concatenate([mixed(v[self.history] * np.uint64(31) + v[self.word]), v]))
+        partition = self.keys % np.uint64(partitions)
+        self.order = np.argsort(partition.astype(np.uint16) if partitions < 1 << 16 else partition, kind="stable")
+        self.partition = partition[self.order].astype(np.int64)
+
+    def counts(self) -> np.ndarray:
         each = self.sums(self.pair, self.times, len(self.word))
-        self.counts = np.concatenate([each, self.sums(self.word, each, width), self.sums(self.history, each, width)])
-        partition = (self.keys % np.uint64(partitions)).astype(np.int64)
-        self.order = np.argsort(partition, kind="stable")
-        self.partition = partition[self.order]
+        words, histories = (self.sums(x, each, self.width) for x in (self.word, self.history))
+        return np.stack([np.concatenate([each, words]), np.concatenate([np.zeros_like(each), histories])])
 
     @staticmethod
     def sums(place: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -100,7 +127,7 @@ class Block:
 
     def own(self, of_pair: np.ndarray) -> np.ndarray:
         """For every cell, how often its document has the word, or history, that `of_pair` gives for its pair."""
-        _, place = np.unique(self.document * len(self.vocabulary) + of_pair[self.pair], return_inverse=True)
+        _, place = np.unique(self.document * self.width + of_pair[self.pair], return_inverse=True)
         return self.sums(place, self.times, 0)[place]
 
 
@@ -112,22 +139,25 @@ def sent(held: DataFrame, partitions: int) -> DataFrame:
             for row in pdf.itertuples():
                 b = Block(row, partitions)
                 names, first = np.unique(b.partition, return_index=True)
-                keys, counts = (np.split(x[b.order], first[1:]) for x in (b.keys.view(np.int64), b.counts))
-                yield pd.DataFrame({"partition": names, "block": row.block, "keys": keys, "counts": counts})
+                keys = np.split(b.keys[b.order], first[1:])
+                counts = np.split(b.counts()[:, b.order], first[1:], axis=1)
+                yield pd.DataFrame({"partition": names, "block": row.block, "keys": [k.tobytes() for k in keys], "counts": [packed(c.ravel()) for c in counts]})
 
-    return held.mapInPandas(run, "partition bigint, block bigint, keys array<bigint>, counts array<bigint>")
+    return held.mapInPandas(run, "partition bigint, block bigint, keys binary, counts binary")
 
 
 def totals(grams: DataFrame) -> DataFrame:
-    """(block, partition, totals): the corpus's count of every gram that a block has sent, in its order."""
+    """(block, partition, totals): the corpus's counts of every gram that a block has sent, in its order."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, place = np.unique(np.concatenate(pdf["keys"].to_list()), return_inverse=True)
-        total = np.bincount(place, np.concatenate(pdf["counts"].to_list())).astype(np.int64)[place]
-        found = np.split(total, np.cumsum(pdf["keys"].map(len))[:-1])
-        return pd.DataFrame({"block": pdf["block"], "partition": pdf["partition"], "totals": found})
+        keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
+        counts = np.concatenate([unpacked(c).reshape(2, -1) for c in pdf["counts"]], axis=1)
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.stack([np.bincount(place, c).astype(np.int64)[place] for c in counts])
+        found = np.split(total, np.cumsum([len(k) for k in keys])[:-1], axis=1)
+        return pd.DataFrame({"block": pdf["block"], "partition": pdf["partition"], "totals": [packed(t.ravel()) for t in found]})
 
-    return grams.groupBy("partition").applyInPandas(count, "block bigint, partition bigint, totals array<bigint>")
+    return grams.groupBy("partition").applyInPandas(count, "block bigint, partition bigint, totals binary")
 
 
 def score_documents(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,23 +168,22 @@ def score_documents(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     and scores as the other does. An empty table gives an empty one. Extra columns are not read.
     """
     s = settings
-    held = saved(blocks(docs, doc_id, text), "blocks", "zstd")
+    held = saved(blocks(docs, doc_id, text), "blocks")
     n_words, n_grams = held.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_grams"), F.lit(0))).first()
     partitions = 1 + n_grams // PARTITION_GRAMS
 
     def score(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = next(blocks.itertuples())
         b = Block(row, partitions)
-        total = np.empty(len(b.order), np.int64)
-        total[b.order] = np.concatenate(answers.sort_values("partition")["totals"].to_list())
-        of_pair, of_word, of_history = np.split(total, [len(b.word), len(b.word) + len(b.vocabulary)])
-        of_pair, n = of_pair[b.pair], b.times
+        total = np.empty((2, len(b.order)), np.int64)
+        total[:, b.order] = np.concatenate([unpacked(t).reshape(2, -1) for t in answers.sort_values("partition")["totals"]], axis=1)
+        of_pair, n = total[0][b.pair], b.times
+        of_word, of_history = total[:, len(b.word):]
         seen = np.maximum(of_word[b.word][b.pair] - b.own(b.word), s.smoothing)
         rest = np.maximum(of_history[b.history][b.pair] - b.own(b.history), 1)
         known = of_pair > n  # another document has the pair
         each = n * np.log(np.where(known, np.maximum(of_pair - n, 1) / rest, s.backoff * seen / max(n_words, 1)))
-        lengths = np.asarray(row.lengths, np.int64)
-        full = lengths > 0
+        lengths, full = b.lengths, b.lengths > 0
         off, sums = np.zeros(len(lengths), np.int64), np.zeros(len(lengths))
         off[full] = b.sums(b.document, n * ~known, full.sum())
         sums[full] = np.bincount(b.document, each, full.sum())
