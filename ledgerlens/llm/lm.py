@@ -27,7 +27,7 @@ from ledgerlens.llm.neardup import mixed
 START = np.uint64(0x5354415254)
 WORD, HISTORY = np.uint64(0x574F5244), np.uint64(0x48495354)
 #: Words of a block, a longer text aside; rows of a block; grams of a partition of the count tables.
-BLOCK_WORDS, BLOCK_ROWS, PARTITION_GRAMS = 800_000, 20_000, 200_000
+BLOCK_WORDS, BLOCK_ROWS, PARTITION_GRAMS = 1_500_000, 20_000, 200_000
 BLOCK = ("block bigint, ids array<string>, lengths binary, vocabulary binary, pairs binary, cells binary, times binary, "
          "n_words bigint, n_grams bigint")
 
@@ -42,7 +42,7 @@ class Settings:
 
 def packed(numbers: np.ndarray) -> bytes:
     """Longs as compressed bytes, those of equal rank together, as most of the numbers are small."""
-    return zlib.compress(np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -101,8 +101,9 @@ def blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 class Block:
     """The columns of a block's row as numbers.
 
-    `keys` are those of its grams, pairs first and then words; `counts` has their counts, and in a
-    second row the words' counts as histories.
+    Its grams are its pairs and then its words. A gram's hash gives, by division, its `partition` and
+    its key there; `order` sorts the grams by both. `counts` has their counts, and in a second row
+    the words' counts as histories.
     """
 
     def __init__(self, row, partitions: int) -> None:
@@ -111,10 +112,10 @@ class Block:
         self.history, self.word = np.divmod(np.cumsum(unpacked(row.pairs)), self.width)
         self.document, self.pair = np.divmod(np.cumsum(unpacked(row.cells)), max(len(self.word), 1))
         self.times, self.lengths = unpacked(row.times), unpacked(row.lengths)
-        self.keys = mixed(np.concatenate([mixed(v[self.history] * np.uint64(31) + v[self.word]), v]))
-        partition = self.keys % np.uint64(partitions)
-        self.order = np.argsort(partition.astype(np.uint16) if partitions < 1 << 16 else partition, kind="stable")
-        self.partition = partition[self.order].astype(np.int64)
+        keys = mixed(np.concatenate([mixed(v[self.history] * np.uint64(31) + v[self.word]), v]))
+        keys, partition = np.divmod(keys, np.uint64(partitions))
+        self.order = np.lexsort((keys, partition))
+        self.keys, self.partition = keys[self.order], partition[self.order].astype(np.int64)
 
     def counts(self) -> np.ndarray:
         each = self.sums(self.pair, self.times, len(self.word))
@@ -139,9 +140,9 @@ def sent(held: DataFrame, partitions: int) -> DataFrame:
             for row in pdf.itertuples():
                 b = Block(row, partitions)
                 names, first = np.unique(b.partition, return_index=True)
-                keys = np.split(b.keys[b.order], first[1:])
+                keys = [packed(np.diff(k, prepend=k[:1] * 0)) for k in np.split(b.keys, first[1:])]
                 counts = np.split(b.counts()[:, b.order], first[1:], axis=1)
-                yield pd.DataFrame({"partition": names, "block": row.block, "keys": [k.tobytes() for k in keys], "counts": [packed(c.ravel()) for c in counts]})
+                yield pd.DataFrame({"partition": names, "block": row.block, "keys": keys, "counts": [packed(c.ravel()) for c in counts]})
 
     return held.mapInPandas(run, "partition bigint, block bigint, keys binary, counts binary")
 
@@ -150,7 +151,7 @@ def totals(grams: DataFrame) -> DataFrame:
     """(block, partition, totals): the corpus's counts of every gram that a block has sent, in its order."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
+        keys = [np.cumsum(unpacked(k).view(np.uint64)) for k in pdf["keys"]]
         counts = np.concatenate([unpacked(c).reshape(2, -1) for c in pdf["counts"]], axis=1)
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.stack([np.bincount(place, c).astype(np.int64)[place] for c in counts])
