@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.trailing import Frame, with_trailing
 
+# What a cold start is given, and the least deviations.
 NEUTRAL_HOUR, NEUTRAL_HOUR_STD = 12.0, 6.0
 MIN_AMOUNT_STD, MIN_HOUR_STD = 1.0, 0.5
 
@@ -27,10 +28,23 @@ def with_baseline(
     The baseline of a row is the user's strictly earlier rows of the last `days` days;
     deviations are those of the population, with floors. Fewer than `min_rows` rows give
     a cold start with both scores 0.
+
+    Amounts are summed as differences from a middle amount of the user (any value near the
+    median does), so that large amounts keep the digits of their deviation, and one outlier
+    does not move the others away from zero.
     """
-    x, h = F.col(amount).cast("double"), F.col(hour).cast("double")
+    raw, h = F.col(amount).cast("double"), F.col(hour).cast("double")
+    middle = df.groupBy(F.col(user).alias("__user")).agg(
+        F.percentile_approx(F.when(~F.isnan(raw), raw), 0.5, F.lit(100)).alias("__centre")
+    )
+    centred = (
+        df.join(middle, F.col(user).eqNullSafe(F.col("__user")), "left")
+        .drop("__user")
+        .withColumn("__centre", F.coalesce("__centre", F.lit(0.0)))
+    )
+    x = raw - F.col("__centre")
     summed = with_trailing(
-        df,
+        centred,
         [user],
         ts,
         [
@@ -51,7 +65,7 @@ def with_baseline(
 
 
 def finish_baseline(summed: DataFrame, amount: str, hour: str, min_rows: int) -> DataFrame:
-    """From counts and sums to the deviation columns."""
+    """From counts and sums, of amounts less `__centre`, to the deviation columns."""
     def moments(n: str, s: str, ss: str, floor: float):
         mean = F.try_divide(s, n)
         var = F.try_divide(ss, n) - mean * mean
@@ -66,7 +80,7 @@ def finish_baseline(summed: DataFrame, amount: str, hour: str, min_rows: int) ->
             {
                 "n": F.col("__n").cast("long"),
                 "is_cold_start": cold,
-                "mean": F.when(cold, 0.0).otherwise(mean),
+                "mean": F.when(cold, 0.0).otherwise(F.col("__centre") + mean),
                 "std": F.when(cold, MIN_AMOUNT_STD).otherwise(std),
                 "mean_hour": F.when(few_hours, NEUTRAL_HOUR).otherwise(mean_hour),
                 "std_hour": F.when(few_hours, NEUTRAL_HOUR_STD).otherwise(std_hour),
@@ -75,14 +89,14 @@ def finish_baseline(summed: DataFrame, amount: str, hour: str, min_rows: int) ->
         .withColumns(
             {
                 "z_amount": F.when(F.col("is_cold_start"), 0.0).otherwise(
-                    (F.col(amount) - F.col("mean")) / F.col("std")
+                    (F.col(amount) - F.col("__centre") - mean) / F.col("std")
                 ),
                 "z_hour": F.when(F.col("is_cold_start"), 0.0).otherwise(
                     F.abs(F.col(hour) - F.col("mean_hour")) / F.col("std_hour")
                 ),
             }
         )
-        .drop("__n", "__x", "__xx", "__hn", "__h", "__hh")
+        .drop("__centre", "__n", "__x", "__xx", "__hn", "__h", "__hh")
     )
 
 

@@ -42,10 +42,17 @@ def nearest(
 ) -> DataFrame:
     """The `k` nearest other points of each query: `key`, neighbour, distance2, rank, `carry`.
 
-    Euclidean distance over `features` as they are (no nulls); ties go to the lower key.
+    Euclidean distance over `features` as they are; a null or NaN in one is an error. Ties go to
+    the lower key.
     Fewer than `k` rows come back only where fewer other points exist.
     """
-    doubles = [F.col(f).cast("double").alias(f) for f in features]
+    def number(f: str) -> Column:
+        # A missing value would hide the whole cell it falls in: no result is better than that.
+        x = F.col(f).cast("double")
+        stop = F.raise_error(F.lit(f"neighbours: {f} holds a null or NaN"))
+        return F.when(x.isNull() | F.isnan(x), stop).otherwise(x).alias(f)
+
+    doubles = [number(f) for f in features]
     points = points.select(F.col(key).alias("__p"), *doubles, *carry)
     queries = queries.select(F.col(key).alias("__q"), *doubles)
 

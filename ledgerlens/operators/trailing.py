@@ -1,10 +1,11 @@
 """Trailing-window sums per key that stay linear and spread a hot key over many tasks.
 
 A sliding range frame re-adds its whole content for every row and keeps a key in one
-task. Here time is cut into slices. A row enters the running sum of its own slice at its
-timestamp and leaves it, `start` later, in the slice it expires in; the slices in between
-are pre-aggregated. The windows are then grouped by (key, slice), so a key with a third
-of all rows is spread over its slices, and every row is added and removed exactly once.
+task. Here time is cut into slices. A row sees three parts of its frame: the rows of its own
+slice before it (a prefix sum), the whole slices in between (pre-aggregated), and the rows of the
+slice that its frame begins in, from there on (a suffix sum). The windows are grouped by (key,
+slice), so a key with a third of all rows is spread over its slices. Nothing is ever taken back
+from a sum, so a large value leaves no rounding error behind once it is out of the frame.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def with_trailing(
     if any(_us(f.start) % width or _us(f.end) % width for f in frames):
         raise ValueError("frame bounds must be multiples of the slice length")
 
-    # One contribution column per sum: added when a row enters, taken back when it leaves.
+    # Two contribution columns per sum: to those after a row enters, and to those before it leaves.
     names = [(i, out) for i, f in enumerate(frames) for out in f.sums]
     moments = [(_ROW, 0)]
     enters, leaves = {}, {}
@@ -67,6 +68,9 @@ def with_trailing(
     def measure(out: str) -> str:
         return f"__m_{out}"
 
+    def leaving(out: str) -> str:
+        return f"__l_{out}"
+
     at = micros(ts)
     measured = df.select(
         "*",
@@ -87,12 +91,8 @@ def with_trailing(
         kind.alias(_KIND),
         moved_at.alias(_AT),
         (moved_at - F.pmod(moved_at, F.lit(width))).alias(_SLICE),
-        *[
-            F.when(kind == enters[i], F.col(measure(out)))
-            .when(kind == leaves[i], -F.col(measure(out)))
-            .alias(measure(out))
-            for i, out in names
-        ],
+        *[F.when(kind == enters[i], F.col(measure(out))).alias(measure(out)) for i, out in names],
+        *[F.when(kind == leaves[i], F.col(measure(out))).alias(leaving(out)) for i, out in names],
         *([F.when(kind == _ROW, moved_at).alias("__last")] if previous else []),
     )
 
@@ -102,17 +102,19 @@ def with_trailing(
         F.max(_AT).alias("__last"),
     )
     by_slice = Window.partitionBy(*keys).orderBy(_SLICE)
+
+    def between(i: int, out: str) -> Column:
+        first, last = width - _us(frames[i].start), -_us(frames[i].end) - width
+        if first > last:  # a frame of one slice's length has none in between
+            return F.lit(None)
+        return F.sum(measure(out)).over(by_slice.rangeBetween(first, last))
+
     opening = totals.select(
         *keys,
         F.lit(None).cast("int").alias(_KIND),
         (F.col(_SLICE) - 1).alias(_AT),
         F.col(_SLICE),
-        *[
-            F.sum(measure(out))
-            .over(by_slice.rangeBetween(-_us(frames[i].start), -_us(frames[i].end) - width))
-            .alias(measure(out))
-            for i, out in names
-        ],
+        *[between(i, out).alias(measure(out)) for i, out in names],
         *(
             [F.max("__last").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias("__last")]
             if previous
@@ -125,8 +127,17 @@ def with_trailing(
         .orderBy(_AT)
         .rangeBetween(Window.unboundedPreceding, -1)
     )
+    not_yet_left = (
+        Window.partitionBy(*keys, _SLICE)
+        .orderBy(F.col(_AT).desc())
+        .rangeBetween(Window.unboundedPreceding, 0)
+    )
     outs = [
-        F.coalesce(F.sum(measure(out)).over(earlier), F.lit(0)).alias(out) for _, out in names
+        (
+            F.coalesce(F.sum(measure(out)).over(earlier), F.lit(0))
+            + F.coalesce(F.sum(leaving(out)).over(not_yet_left), F.lit(0))
+        ).alias(out)
+        for _, out in names
     ]
     if previous:
         last = F.max("__last").over(earlier)

@@ -27,17 +27,18 @@ def _processor(columns: list[str], outputs: list[str], span: int, width: int) ->
 
     class Baseline(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            # Six totals per slice, flat, in the order of `slices`.
-            self.sums = handle.getValueState("sums", "slices array<bigint>, totals array<double>")
+            # Six totals per slice, flat, in the order of `slices`, of amounts less `centre`.
+            self.sums = handle.getValueState(
+                "sums", "slices array<bigint>, totals array<double>, centre double"
+            )
             self.rows = handle.getMapState(
                 "rows", "slice long", "at array<bigint>, amount array<double>, hour array<double>"
             )
 
-        @staticmethod
-        def _parts(amount, hour):
+        def _parts(self, amount, hour):
             """The six summands of each row."""
             has_x, has_h = ~np.isnan(amount), ~np.isnan(hour)
-            x, h = np.where(has_x, amount, 0.0), np.where(has_h, hour, 0.0)
+            x, h = np.where(has_x, amount - self.centre, 0.0), np.where(has_h, hour, 0.0)
             return np.stack([has_x.astype(float), x, x * x, has_h.astype(float), h, h * h], axis=1)
 
         def _load(self, s):
@@ -63,11 +64,15 @@ def _processor(columns: list[str], outputs: list[str], span: int, width: int) ->
             hour = batch["row_hour"].to_numpy(dtype=float)
             slices = at - at % width
 
-            known = {}
+            known, centre = {}, None
             if self.sums.exists():
-                starts, flat = self.sums.get()
+                starts, flat, centre = self.sums.get()
                 known = dict(zip(list(starts), np.array(list(flat), dtype=float).reshape(-1, 6)))
 
+            # The first trigger with an amount settles the centre; until then no amount is summed.
+            if centre is None and not np.isnan(amount).all():
+                centre = float(np.nanmedian(amount))
+            self.centre = 0.0 if centre is None else centre
             loaded = {}
 
             def slice_rows(s):
@@ -95,26 +100,31 @@ def _processor(columns: list[str], outputs: list[str], span: int, width: int) ->
 
             starts = np.array(sorted(known), dtype="int64")
             sums = np.array([known[s] for s in starts.tolist()])
-            totals = np.vstack([np.zeros((1, 6)), np.cumsum(sums, axis=0)])
-            found = np.zeros((len(at), 6))
-            for i, (t, s) in enumerate(zip(at.tolist(), slices.tolist())):
-                first = t - span
-                tail = first - first % width
+            found, none = np.zeros((len(at), 6)), np.zeros((1, 6))
+            first = at - span
+            tails = first - first % width
+            # Rows with the same first and last slice: the sums before them in the last, of the
+            # slices in between, and from the window's start on in the first. Only additions.
+            edges = np.flatnonzero((np.diff(slices) != 0) | (np.diff(tails) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(at)]):
+                s, tail = int(slices[a]), int(tails[a])
                 low, high = np.searchsorted(starts, [tail + 1, s])
-                found[i] = totals[high] - totals[low]
+                found[a:b] = sums[low:high].sum(axis=0)
                 moments, parts = slice_rows(s)
-                found[i] += parts[: np.searchsorted(moments, t)].sum(axis=0)
+                upto = np.vstack([none, np.cumsum(parts, axis=0)])
+                found[a:b] += upto[np.searchsorted(moments, at[a:b])]
                 moments, parts = slice_rows(tail)
-                found[i] += parts[np.searchsorted(moments, first) :].sum(axis=0)
+                onward = np.vstack([np.cumsum(parts[::-1], axis=0)[::-1], none])
+                found[a:b] += onward[np.searchsorted(moments, first[a:b])]
 
             kept = starts >= starts[-1] - span - width
             for s in starts[~kept].tolist():
                 self.rows.removeKey((s,))
-            self.sums.update((starts[kept].tolist(), sums[kept].ravel().tolist()))
+            self.sums.update((starts[kept].tolist(), sums[kept].ravel().tolist(), centre))
 
             out = batch[columns].copy()
             for j, name in enumerate(outputs):
-                out[name] = found[:, j]
+                out[name] = found[:, j] if name != "__centre" else self.centre
             yield out
 
         def close(self) -> None:
@@ -145,7 +155,7 @@ def baseline_stream(
     now = F.current_timestamp() if clock is None else clock
     dated = F.col(ts).cast("timestamp") <= now.cast("timestamp") + F.expr(f"INTERVAL {int(ahead.total_seconds())} SECONDS")
     us = timedelta(microseconds=1)
-    outputs = ["__n", "__x", "__xx", "__hn", "__h", "__hh"]
+    outputs = ["__n", "__x", "__xx", "__hn", "__h", "__hh", "__centre"]
     prepared = txn.withColumns(
         {
             "row_at": F.when(dated, micros(ts)),

@@ -108,3 +108,26 @@ def test_velocity(spark):
     assert got[3] == (30.0, 2, 1, 0)
     assert got[4] == (23 * 60.0, 0, 1, 0)
     assert got[5][3] == 1 and got[6][3] == 0
+
+
+@pytest.mark.parametrize("base", [1e9, 1e12])
+def test_large_amounts_keep_their_deviation(spark, base):
+    """Against two passes over the rows of the frame, with an outlier that enters and leaves it."""
+    rng = random.Random(5)
+    rows = [(i, i % 2, T0 + timedelta(hours=7 * i, minutes=i % 60), base + rng.randrange(60), i % 24) for i in range(700)]
+    rows[10] = (10, 0, rows[10][2], base * 1000, 3)
+    got = with_baseline(spark.createDataFrame(rows, SCHEMA)).collect()
+    for r in got:
+        seen = [a - base for _, u, t, a, _ in rows if u == r.user_id and r.ts - timedelta(days=90) <= t < r.ts]
+        assert r.n == len(seen)
+        if len(seen) >= 5:
+            mean = sum(seen) / len(seen)
+            std = max((sum((a - mean) ** 2 for a in seen) / len(seen)) ** 0.5, 1.0)
+            assert r.std == pytest.approx(std, rel=1e-6)
+            assert r.z_amount == pytest.approx((r.amount - base - mean) / std, rel=1e-6, abs=1e-6)
+
+
+def test_frame_of_one_slice(spark):
+    rows = [(i, 1, T0 + timedelta(minutes=20 * i), 1.0, 1) for i in range(12)]
+    out = with_trailing(spark.createDataFrame(rows, SCHEMA), ["user_id"], "ts", [Frame(timedelta(hours=1), {"n": F.lit(1)})])
+    assert {r.txn_id: r.n for r in out.collect()} == {i: min(i, 3) for i in range(12)}
