@@ -169,6 +169,21 @@ def align_batch(pdf: pd.DataFrame, a_path: str, b_path: str) -> pd.DataFrame:
     return out
 
 
+#: Texts of at most about so many characters are aligned together: the token frames of a chunk
+#: take some 200 bytes a token, so a chunk stays near 100 MB whatever the Arrow batch holds.
+CHUNK_CHARS = 2_000_000
+
+
+def pieces_of(pdf: pd.DataFrame, chars: int) -> Iterator[pd.DataFrame]:
+    """`pdf` cut into runs of rows whose texts hold about `chars` characters; a longer text is a run alone."""
+    if not len(pdf):
+        return
+    size = np.fromiter((len(t) if isinstance(t, str) else 0 for t in pdf["text"]), np.int64, len(pdf))
+    cut = np.floor_divide(np.cumsum(size) - size, chars)
+    for start, stop in zip(np.r_[0, np.flatnonzero(np.diff(cut)) + 1], np.r_[np.flatnonzero(np.diff(cut)) + 1, len(pdf)]):
+        yield pdf.iloc[start:stop]
+
+
 def aligned(docs: DataFrame, text: str = "text", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """(keyed input, aligned): `docs` saved with a row key `row`, and per row token counts, groups and (a, b, m) links."""
     if a_path is None or b_path is None:
@@ -178,7 +193,8 @@ def aligned(docs: DataFrame, text: str = "text", a_path: str | None = None, b_pa
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield align_batch(pdf, a_path, b_path)
+            for part in pieces_of(pdf, CHUNK_CHARS):
+                yield align_batch(part, a_path, b_path)
 
     found = keyed.select("row", F.col(text).alias("text")).mapInPandas(run, ALIGNED)
     return keyed, saved(found, "align-out")
