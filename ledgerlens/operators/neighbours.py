@@ -1,16 +1,19 @@
 """Exact nearest neighbours of many points without forming all pairs.
 
-Points are cut into cells by quantiles of the two widest features. The cells' bounding
-boxes and counts (at most 64 x 64 rows) give each query a distance that
-surely holds k points; only cells nearer than that are searched. Cells are split into
-tiles on both sides, so a crowded cell is many small tasks, and each tile hands on no
-more than k points per query.
+Points are dealt into the leaves of a k-d tree of cuts. The cuts come from a bounded, hashed
+sample of the points (`SAMPLE_ROWS`): a node is cut at the sample median of its widest feature,
+over all features, until a leaf would hold about half a tile of points; the number of leaves so
+grows with the data (at most `MAX_LEAVES`, beyond which leaves grow instead). Every point then
+falls in exactly one leaf, so the sample decides the shape of the tree, never a result.
+
+The leaves' bounding boxes and counts give each query a distance that surely holds k points
+(the running k-th distance over leaves taken best first, by their farthest corner); only leaves
+nearer than that are searched. Leaves are split into tiles on both sides, so a crowded leaf is
+many small tasks, and each tile hands on no more than k points per query.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,17 +21,54 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.text import hash32
 
-
-MAX_PER_AXIS = 64
-
-
-def _cell(bounds: dict[str, list[float]]) -> Column:
-    """The cell number: how many cuts each axis value passes."""
-    number = F.lit(0)
-    for f, cuts in bounds.items():
-        step = reduce(lambda a, b: a + b, [(F.col(f) > c).cast("int") for c in cuts], F.lit(0))
-        number = number * MAX_PER_AXIS + step
-    return number
+#: Points drawn, by a hash of their key, to place the cuts; the tree's leaves stay below MAX_LEAVES.
+SAMPLE_ROWS = 100_000
+MAX_LEAVES = 16_384
+
+
+def build_tree(sample: np.ndarray, scale: float, leaf_rows: int) -> tuple[np.ndarray, ...]:
+    """Cuts of a k-d tree: per node (feature, cut, left, right), -1 children for leaves, and leaf
+    numbers. A node of the sample standing for more than `leaf_rows` points is cut at the median of
+    its widest feature; a node whose points are all equal, or that cannot be cut in two, is a leaf."""
+    feature, cut, left, right, leaf = [], [], [], [], []
+
+    def grow(rows: np.ndarray) -> int:
+        at = len(feature)
+        feature.append(-1); cut.append(0.0); left.append(-1); right.append(-1); leaf.append(-1)  # noqa: E702
+        if len(rows) * scale > leaf_rows and len(rows) > 1:
+            part = sample[rows]
+            width = part.max(axis=0) - part.min(axis=0)
+            f = int(np.argmax(width))
+            if width[f] > 0:
+                value = float(np.median(part[:, f]))
+                low = part[:, f] <= value
+                if low.all():  # the median is the largest value: cut just below it
+                    value = float(np.max(part[:, f][part[:, f] < value]))
+                    low = part[:, f] <= value
+                feature[at], cut[at] = f, value
+                a = grow(rows[low])
+                b = grow(rows[~low])
+                left[at], right[at] = a, b
+                return at
+        leaf[at] = max(leaf) + 1
+        return at
+
+    grow(np.arange(len(sample)))
+    return tuple(np.array(x) for x in (feature, cut, left, right, leaf))
+
+
+def leaf_of(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The leaf number of each row of `x`, all rows descending the tree one level at a time."""
+    feature, cut, left, right, leaf = tree
+    node = np.zeros(len(x), np.int64)
+    while True:
+        inner = left[node] >= 0
+        if not inner.any():
+            return leaf[node]
+        rows = np.flatnonzero(inner)
+        f = feature[node[rows]]
+        go_left = x[rows, f] <= cut[node[rows]]
+        node[rows] = np.where(go_left, left[node[rows]], right[node[rows]])
 
 
 def nearest(
@@ -39,12 +79,14 @@ def nearest(
     key: str = "txn_id",
     carry: tuple[str, ...] = (),
     tile: int = 4096,
+    report: dict | None = None,
 ) -> DataFrame:
     """The `k` nearest other points of each query: `key`, neighbour, distance2, rank, `carry`.
 
     Euclidean distance over `features` as they are; a null or NaN in one is an error. Ties go to
     the lower key.
-    Fewer than `k` rows come back only where fewer other points exist.
+    Fewer than `k` rows come back only where fewer other points exist. A `report` dict, when
+    given, receives the number of leaves and the share of (query, leaf) pairs searched.
     """
     def number(f: str) -> Column:
         # A missing value would hide the whole cell it falls in: no result is better than that.
@@ -56,34 +98,36 @@ def nearest(
     points = points.select(F.col(key).alias("__p"), *doubles, *carry)
     queries = queries.select(F.col(key).alias("__q"), *doubles)
 
-    # One bounded row of statistics: spread and quantiles of each feature. The two widest
-    # become the axes of the cells, cut so that a cell holds about half a tile of points.
-    levels = [i / MAX_PER_AXIS for i in range(1, MAX_PER_AXIS)]
-    spread = points.agg(
-        F.count("*").alias("n"),
-        *[F.coalesce(F.stddev_pop(f), F.lit(0.0)).alias(f"s_{f}") for f in features],
-        *[F.percentile_approx(f, levels, 1000).alias(f"q_{f}") for f in features],
-    ).first()
-    axes = sorted(features, key=lambda f: -spread[f"s_{f}"])[:2]
-    per_axis = 1
-    while per_axis < MAX_PER_AXIS and per_axis * per_axis * tile < 2 * spread["n"]:
-        per_axis *= 2
-    step = MAX_PER_AXIS // per_axis
-    bounds = {f: sorted(set((spread[f"q_{f}"] or [])[step - 1 :: step])) for f in axes}
+    # One bounded sample places the cuts; a leaf should hold about half a tile of points.
+    n = points.count()
+    rate = min(1.0, SAMPLE_ROWS / max(n, 1))
+    drawn = points.filter(F.pmod(hash32(3, "__p"), F.lit(1 << 20)) < F.lit(int(rate * (1 << 20)) + 1))
+    sample = np.array([list(r) for r in drawn.select(*features).collect()], dtype=float).reshape(-1, len(features))
+    scale = n / max(len(sample), 1)
+    leaf_rows = max(tile // 2, -(-n // MAX_LEAVES))
+    tree = build_tree(sample, scale, leaf_rows) if len(sample) else tuple(np.array(x) for x in ([-1], [0.0], [-1], [-1], [0]))
 
     # Of many copies of one point only the first k+1 by key can be among anyone's nearest.
     copies = Window.partitionBy(*features).orderBy("__p")
     points = (
         points.withColumn("__n", F.row_number().over(copies)).filter(F.col("__n") <= k + 1).drop("__n")
     )
-    placed = points.withColumn("__cell", _cell(bounds))
+    names = list(features)
+
+    def to_leaves(batches):
+        for batch in batches:
+            out = batch.copy()
+            out["__cell"] = leaf_of(batch[names].to_numpy(dtype=float), tree).astype("int32")
+            yield out
+
+    placed = points.mapInPandas(to_leaves, T.StructType([*points.schema.fields, T.StructField("__cell", T.IntegerType())]))
     boxes = (
         placed.groupBy("__cell")
         .agg(
             F.count("*").alias("n"),
             *[g(f).alias(f"{name}_{f}") for f in features for name, g in (("lo", F.min), ("hi", F.max))],
         )
-        .collect()  # at most MAX_PER_AXIS squared rows
+        .collect()  # one row a leaf: at most MAX_LEAVES
     )
     if not boxes:
         empty = points.select(F.col("__p").alias(key), F.col("__p").alias("neighbour"), *carry)
@@ -93,12 +137,14 @@ def nearest(
     low = np.array([[b[f"lo_{f}"] for f in features] for b in boxes])
     high = np.array([[b[f"hi_{f}"] for f in features] for b in boxes])
     needed = k + 1  # the query itself may be one of the points
-    names = list(features)
+
+    # queries a step: their gaps to every box stay near 4 million numbers
+    block = max(1, (1 << 22) // (len(boxes) * len(names)))
 
     def to_cells(batches):
         for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.iloc[start : start + 1024]
+            for start in range(0, len(batch), block):
+                part = batch.iloc[start : start + block]
                 x = part[names].to_numpy()[:, None, :]
                 gap = np.maximum(np.maximum(low[None] - x, x - high[None]), 0.0)
                 reach = np.maximum(np.abs(x - low[None]), np.abs(x - high[None]))
@@ -116,6 +162,9 @@ def nearest(
     schema = T.StructType([*queries.schema.fields, T.StructField("__cell", T.IntegerType())])
     sent = queries.mapInPandas(to_cells, schema)
     asked = {r["__cell"]: r["n"] for r in sent.groupBy("__cell").agg(F.count("*").alias("n")).collect()}
+    if report is not None:
+        report["leaves"] = len(boxes)
+        report["visited"] = sum(asked.values()) / max(1, queries.count() * len(boxes))
     table = [
         (int(c), -(-int(n) // tile), -(-int(asked.get(int(c), 0)) // tile))
         for c, n in zip(cell_ids, counts)

@@ -139,3 +139,39 @@ def test_balance(spark):
     counts = {(r.y, r.is_synthetic): r["count"] for r in got.groupBy("y", "is_synthetic").count().collect()}
     assert counts == {(0, False): 220, (1, False): 20, (1, True): 90}
     assert got.filter("shop is null or a is null").count() == 0
+
+
+def test_nearest_in_fifteen_dimensions(spark):
+    rnd = random.Random(15)
+    # clusters, a run of copies and one constant feature
+    centres = [[rnd.gauss(0, 5) for _ in range(15)] for _ in range(6)]
+    points = []
+    for i in range(900):
+        c = centres[i % 6]
+        v = (1.0,) * 15 if i % 10 == 0 else tuple(round(x + rnd.gauss(0, 1), 3) for x in c)
+        points.append((i, v[:14] + (2.0,)))
+    cols = [f"f{j}" for j in range(15)]
+    df = spark.createDataFrame([(i, *v) for i, v in points], "txn_id long, " + ", ".join(f"{c} double" for c in cols))
+    queries = df.filter("txn_id % 3 = 0")
+    report = {}
+    got = {}
+    for r in nearest(queries, df, cols, 5, tile=32, report=report).orderBy("txn_id", "rank").collect():
+        got.setdefault(r.txn_id, []).append(r.neighbour)
+    assert got == brute([p for p in points if p[0] % 3 == 0], points, 5)
+    # leaves follow the row count; most leaves are left out for most queries
+    assert report["leaves"] >= 900 // 16 // 2 and report["visited"] < 0.5
+
+
+def test_leaves_grow_with_rows():
+    from ledgerlens.operators.neighbours import build_tree, leaf_of
+
+    rnd = np.random.default_rng(3)
+    sizes = []
+    for n in (1000, 4000, 16000):
+        x = rnd.normal(size=(n, 15))
+        tree = build_tree(x, 1.0, 64)
+        leaves = leaf_of(x, tree)
+        counts = np.bincount(leaves)
+        assert counts.max() <= 64 and counts.min() >= 1
+        sizes.append(counts.size)
+    assert sizes[0] < sizes[1] < sizes[2] and sizes[2] >= 16000 // 64
