@@ -35,7 +35,7 @@ from ledgerlens.llm.common import saved
 
 ALIGNED = (
     "row long, n_a long, n_b long, n_groups long, groups string, "
-    "links array<struct<a:int,b:int,m:long>>, n_links long"
+    "links_a array<int>, links_b array<int>, links_m array<long>, n_links long"
 )
 
 
@@ -65,7 +65,7 @@ def tokenizer_a(path: str):
     alphabet = byte_alphabet()
     size = tok.get_vocab_size(with_added_tokens=True)
     pieces = [bytes(alphabet[c] for c in (tok.id_to_token(i) or "")) for i in range(size)]
-    return tok, pieces
+    return tok, table_of(pieces)
 
 
 @lru_cache(maxsize=4)
@@ -82,27 +82,36 @@ def tokenizer_b(path: str):
             pieces.append(b"")  # stands for no bytes of the text: such a text fails the byte check
         else:
             pieces.append(p.replace("▁", " ").encode("utf-8"))
-    return proc, pieces
+    return proc, table_of(pieces)
 
 
-def token_frame(ids: list[list[int]], pieces: list[bytes], ok: np.ndarray) -> pd.DataFrame:
+def table_of(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, start, length) of the pieces, for lookups by arrays of ids."""
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    return np.frombuffer(b"".join(pieces), np.uint8), np.r_[0, np.cumsum(lengths)[:-1]], lengths
+
+
+def spelled(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The bytes the ids stand for, joined."""
+    data, start, length = table
+    n = length[ids]
+    at = np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return data[at]
+
+
+def token_frame(ids: list[np.ndarray], table, ok: np.ndarray) -> pd.DataFrame:
     """One row per token of the rows marked `ok`: doc (batch position), idx, id, start, end (bytes)."""
-    docs, idx, tid, lens = [], [], [], []
-    for d in np.flatnonzero(ok):
-        row = ids[d]
-        docs.append(np.full(len(row), d, np.int64))
-        idx.append(np.arange(len(row), dtype=np.int64))
-        tid.append(np.asarray(row, np.int64))
-        lens.append(np.fromiter((len(pieces[t]) for t in row), np.int64, len(row)))
-    if not docs:
+    chosen = np.flatnonzero(ok)
+    counts = np.fromiter((len(ids[d]) for d in chosen), np.int64, len(chosen))
+    if not counts.sum():
         return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc", "idx", "id", "start", "end")})
-    doc, ln = np.concatenate(docs), np.concatenate(lens)
+    tid = np.concatenate([ids[d] for d in chosen]).astype(np.int64)
+    doc = np.repeat(chosen, counts)
+    first = np.repeat(np.cumsum(counts) - counts, counts)
+    ln = table[2][tid]
     end = np.cumsum(ln)
-    # restart the running sum at each document
-    first = np.r_[0, np.flatnonzero(doc[1:] != doc[:-1]) + 1]
-    base = np.repeat(end[first] - ln[first], np.diff(np.r_[first, len(doc)]))
-    end = end - base
-    return pd.DataFrame({"doc": doc, "idx": np.concatenate(idx), "id": np.concatenate(tid), "start": end - ln, "end": end})
+    end = end - np.repeat(end[np.cumsum(counts) - counts] - ln[np.cumsum(counts) - counts], counts)  # from 0 in each row
+    return pd.DataFrame({"doc": doc, "idx": np.arange(len(tid)) - first, "id": tid, "start": end - ln, "end": end})
 
 
 def covering(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -131,16 +140,18 @@ def align_batch(pdf: pd.DataFrame, a_path: str, b_path: str) -> pd.DataFrame:
     tok_a, bytes_a = tokenizer_a(a_path)
     proc_b, bytes_b = tokenizer_b(b_path)
     texts = pdf["text"].tolist()
-    usable = np.array([isinstance(t, str) and t != "" for t in texts])
-    chosen = [t for t, u in zip(texts, usable) if u]
-    ids_a_part = [e.ids for e in tok_a.encode_batch([" " + t for t in chosen], add_special_tokens=False)] if chosen else []
-    ids_b_part = proc_b.encode(chosen) if chosen else []
     n = len(texts)
-    ids_a, ids_b = [[] for _ in range(n)], [[] for _ in range(n)]
+    usable = np.array([isinstance(t, str) and t != "" for t in texts], bool)
+    chosen = [t for t, u in zip(texts, usable) if u]
+    ids_a_part = [np.asarray(e.ids, np.int64) for e in tok_a.encode_batch([" " + t for t in chosen], add_special_tokens=False)] if chosen else []
+    ids_b_part = [np.asarray(x, np.int64) for x in proc_b.encode(chosen)] if chosen else []
+    empty = np.zeros(0, np.int64)
+    ids_a, ids_b = [empty] * n, [empty] * n
     for k, d in enumerate(np.flatnonzero(usable)):
         ids_a[d], ids_b[d] = ids_a_part[k], ids_b_part[k]
-        want = (" " + texts[d]).encode("utf-8")
-        if b"".join(bytes_a[i] for i in ids_a[d]) != want or b"".join(bytes_b[i] for i in ids_b[d]) != want:
+        want = np.frombuffer((" " + texts[d]).encode("utf-8"), np.uint8)
+        got_a, got_b = spelled(ids_a[d], bytes_a), spelled(ids_b[d], bytes_b)
+        if len(got_a) != len(want) or len(got_b) != len(want) or (got_a != want).any() or (got_b != want).any():
             usable[d] = False
     ta, tb = token_frame(ids_a, bytes_a, usable), token_frame(ids_b, bytes_b, usable)
     ab = covering(ta, tb)  # each A start in its B token
@@ -150,28 +161,27 @@ def align_batch(pdf: pd.DataFrame, a_path: str, b_path: str) -> pd.DataFrame:
         pd.DataFrame({"doc": ba["doc"], "ia": ba["idx_r"], "ib": ba["idx_l"], "a": ba["id_r"], "b": ba["id_l"]}),
     ]).drop_duplicates(["doc", "ia", "ib"])
     per_pair = pairs.groupby(["doc", "a", "b"], sort=True).size().reset_index(name="m")
-    by_doc_links = {d: g for d, g in per_pair.groupby("doc", sort=False)}
-    n_links = pairs.groupby("doc").size().to_dict()
-    a_by_doc = {d: g for d, g in ta.groupby("doc", sort=False)}
-    b_by_doc = {d: g for d, g in tb.groupby("doc", sort=False)}
-    rows = []
+    n_links = np.bincount(pairs["doc"].to_numpy(), minlength=n)
+    cut_pairs = np.searchsorted(per_pair["doc"].to_numpy(), np.arange(n + 1))
+    cut_a = np.searchsorted(ta["doc"].to_numpy(), np.arange(n + 1))
+    cut_b = np.searchsorted(tb["doc"].to_numpy(), np.arange(n + 1))
+    pa, pb, pm = per_pair["a"].to_numpy(np.int32), per_pair["b"].to_numpy(np.int32), per_pair["m"].to_numpy(np.int64)
+    cols = {"n_a": [], "n_b": [], "n_groups": [], "groups": [], "links_a": [], "links_b": [], "links_m": [], "n_links": []}
     for d in range(n):
-        if not usable[d]:
-            rows.append((0, 0, 0, "", [], 0))
-            continue
-        a, b = a_by_doc[d], b_by_doc[d]
-        text = group_text(a, b)
-        g = by_doc_links[d]
-        links = [{"a": int(x), "b": int(y), "m": int(z)} for x, y, z in zip(g["a"], g["b"], g["m"])]
-        rows.append((len(a), len(b), text.count(";") + 1, text, links, int(n_links[d])))
-    out = pd.DataFrame(rows, columns=["n_a", "n_b", "n_groups", "groups", "links", "n_links"])
+        a, b = ta.iloc[cut_a[d] : cut_a[d + 1]], tb.iloc[cut_b[d] : cut_b[d + 1]]
+        text = group_text(a, b) if usable[d] else ""
+        lo, hi = cut_pairs[d], cut_pairs[d + 1]
+        for name, value in (("n_a", len(a)), ("n_b", len(b)), ("n_groups", text.count(";") + 1 if text else 0), ("groups", text),
+                            ("links_a", pa[lo:hi]), ("links_b", pb[lo:hi]), ("links_m", pm[lo:hi]), ("n_links", int(n_links[d]))):
+            cols[name].append(value)
+    out = pd.DataFrame(cols)
     out.insert(0, "row", pdf["row"].to_numpy())
     return out
 
 
 #: Texts of at most about so many characters are aligned together: the token frames of a chunk
-#: take some 200 bytes a token, so a chunk stays near 100 MB whatever the Arrow batch holds.
-CHUNK_CHARS = 2_000_000
+#: take some 200 bytes a token, so a chunk stays near 30 MB whatever the Arrow batch holds.
+CHUNK_CHARS = 500_000
 
 
 def pieces_of(pdf: pd.DataFrame, chars: int) -> Iterator[pd.DataFrame]:
@@ -192,6 +202,9 @@ def aligned(docs: DataFrame, text: str = "text", a_path: str | None = None, b_pa
     keyed = saved(docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`") for c in docs.columns if c != "row"]), "align-in")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task: Spark runs the tasks side by side
         for pdf in batches:
             for part in pieces_of(pdf, CHUNK_CHARS):
                 yield align_batch(part, a_path, b_path)
@@ -208,7 +221,7 @@ def alignment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a_pat
     count); `count_sum` sums the pair counts over the links.
     """
     keyed, found = aligned(docs, text, a_path, b_path)
-    pairs = found.select("row", F.explode("links").alias("l")).select("row", "l.a", "l.b", "l.m")
+    pairs = found.select("row", F.explode(F.arrays_zip(F.col("links_a").alias("a"), F.col("links_b").alias("b"), F.col("links_m").alias("m"))).alias("l")).select("row", "l.a", "l.b", "l.m")
     counts = pairs.groupBy("a", "b").agg(F.count("*").alias("docs"))
     # one row per A id: bounded by A's vocabulary, so it may go to every task
     best = counts.groupBy("a").agg(F.max("docs").alias("top"))
@@ -219,5 +232,5 @@ def alignment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a_pat
             F.sum(F.col("m") * F.col("docs")).cast("long").alias("count_sum"),
         )
     )
-    out = found.drop("links").join(scored, "row", "left").na.fill(0, ["n_best", "count_sum"])
+    out = found.drop("links_a", "links_b", "links_m").join(scored, "row", "left").na.fill(0, ["n_best", "count_sum"])
     return keyed.select("row", doc_id).join(out, "row").drop("row")

@@ -40,13 +40,18 @@ def brute_alignment(texts: list[tuple]) -> dict:
     tok, bytes_a = align.tokenizer_a(align.default_paths()[0])
     proc, bytes_b = align.tokenizer_b(align.default_paths()[1])
 
-    def runs(ids, pieces):
+    def runs(ids, table):
         out, at = [], 0
         for i in ids:
-            out.append((i, at, at + len(pieces[i])))
-            at += len(pieces[i])
+            n = int(table[2][i])
+            out.append((i, at, at + n))
+            at += n
         return out
 
+    def joined(ids, table):
+        data, start, length = table
+        return b"".join(data[start[i] : start[i] + length[i]].tobytes() for i in ids)
+
     per = {}
     for key, text in texts:
         if not text:
@@ -55,7 +60,7 @@ def brute_alignment(texts: list[tuple]) -> dict:
         a = runs(tok.encode(" " + text, add_special_tokens=False).ids, bytes_a)
         b = runs(proc.encode(text), bytes_b)
         want = (" " + text).encode()
-        if b"".join(bytes_a[i] for i, _, _ in a) != want or b"".join(bytes_b[i] for i, _, _ in b) != want:
+        if joined([i for i, _, _ in a], bytes_a) != want or joined([i for i, _, _ in b], bytes_b) != want:
             per[key] = None
             continue
         links, j = [], 0
