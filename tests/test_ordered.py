@@ -175,3 +175,28 @@ def test_leaves_grow_with_rows():
         assert counts.max() <= 64 and counts.min() >= 1
         sizes.append(counts.size)
     assert sizes[0] < sizes[1] < sizes[2] and sizes[2] >= 16000 // 64
+
+
+@pytest.mark.parametrize("accuracy", [3, 50, 10_000])
+def test_bracketed_medians_are_exact(spark, accuracy):
+    from ledgerlens.operators.stats import bracketed_medians
+
+    rnd = random.Random(accuracy)
+    rows = []
+    for i in range(2001):
+        rows.append((
+            float(rnd.randrange(7)),                            # many ties
+            None if i % 3 == 0 else rnd.gauss(100, 30),          # nulls
+            float(i) if i < 2000 else None,                      # even count
+            None,                                                # no values
+            1e12 + rnd.random() if i % 2 else -1e12,             # wide
+            5.0,                                                 # constant
+        ))
+    cols = ["ties", "nulls", "even", "empty", "wide", "same"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(4)
+    got = {r.column: r.median for r in bracketed_medians(df, cols, accuracy).collect()}
+    for j, c in enumerate(cols):
+        values = [r[j] for r in rows if r[j] is not None]
+        want = statistics.median(values) if values else None
+        assert got[c] == (pytest.approx(want, rel=1e-12) if want is not None else None), c
+    assert bracketed_medians(df.limit(0), cols).filter("median is not null").count() == 0
