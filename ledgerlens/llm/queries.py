@@ -106,10 +106,8 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = align.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
-                      digest.alias("groups_sha256"))
+    out = align.alignment(table(spark, sf_dir, "documents"), groups="sha256")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
 @query
