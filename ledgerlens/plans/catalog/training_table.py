@@ -151,9 +151,13 @@ def _(v: Views):
     return rounded(master.overlap_audit(sources, "txn_id"), 6, "share", "fraud_rate_a", "fraud_rate_b")
 
 
-STAT_NUMBERS = ["amount", "time_since_last_txn_min", "transaction_velocity", "amount_deviation_score",
-                "hour_of_day", "user_avg_txn_value", "balance_after_transaction"]
-STAT_TEXTS = ["status", "user_kyc_status", "day_of_week", "user_city_tier"]
+# Every column of the anchor table, by kind.
+STAT_NUMBERS = ["amount", "hour_of_day", "is_weekend", "is_night_transaction", "time_since_last_txn_min",
+                "transaction_velocity", "amount_deviation_score", "failed_attempts_last_24h", "recurring_payment_flag",
+                "transaction_frequency_score", "new_device_flag", "ip_location_mismatch", "user_avg_monthly_txn",
+                "user_avg_txn_value", "user_loyalty_score", "balance_after_transaction", "is_fraud"]
+STAT_TEXTS = ["transaction_id", "user_id", "receiver_id", "timestamp", "date", "status", "user_kyc_status", "receiver_type",
+              "transaction_type", "payment_app", "device_type", "day_of_week", "user_city_tier"]
 
 
 @query("anchor_stats", " UNION ALL ".join(
@@ -163,12 +167,12 @@ def _(v: Views):
     return rounded(stats.column_stats(v.anchor.select(*STAT_NUMBERS, *STAT_TEXTS)), 6, "median")
 
 
-PROFILED = ["receiver_type", "payment_app", "user_kyc_status", "amount", "hour_of_day", "transaction_velocity", "is_fraud"]
+PROFILED = STAT_TEXTS + STAT_NUMBERS
 
 
 @query("column_profile", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", '{'text' if i < 3 else 'numeric'}' AS kind, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS \"distinct\" FROM v_anchor"
-    for i, c in enumerate(PROFILED)) + """
+    f"SELECT '{c}' AS \"column\", '{'text' if c in STAT_TEXTS else 'numeric'}' AS kind, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT {c}) AS \"distinct\" FROM v_anchor"
+    for c in PROFILED) + """
 UNION ALL SELECT concat('class ', is_fraud), 'balance', count(*), CAST(-1 AS BIGINT) FROM v_anchor GROUP BY is_fraud""")
 def _(v: Views):
     balance = stats.class_balance(v.anchor, "is_fraud").select(
@@ -180,7 +184,7 @@ def _(v: Views):
     return stats.profile(v.anchor.select(*PROFILED)).unionByName(balance)
 
 
-NULLABLE = ["user_kyc_status", "time_since_last_txn_min", "transaction_velocity", "amount_deviation_score", "amount", "status"]
+NULLABLE = STAT_TEXTS + STAT_NUMBERS
 
 
 @query("null_summary", "SELECT \"column\", nulls, round(nulls / n * 100, 6) AS pct FROM (" + " UNION ALL ".join(
