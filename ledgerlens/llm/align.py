@@ -119,7 +119,7 @@ def spelled(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -
 
 
 def token_frame(ids: list[np.ndarray], table, ok: np.ndarray) -> pd.DataFrame:
-    """One row per token of the rows marked `ok`: doc (batch position), idx, id, start, end (bytes)."""
+    """One row per token of the rows marked `ok`: doc (batch position), idx, id, start, end (bytes of the chunk)."""
     chosen = np.flatnonzero(ok)
     counts = np.fromiter((len(ids[d]) for d in chosen), np.int64, len(chosen))
     if not counts.sum():
@@ -128,19 +128,18 @@ def token_frame(ids: list[np.ndarray], table, ok: np.ndarray) -> pd.DataFrame:
     doc = np.repeat(chosen, counts)
     first = np.repeat(np.cumsum(counts) - counts, counts)
     ln = table[2][tid]
+    # offsets run on over the rows of the chunk: rows tile the same bytes on both sides, so the
+    # offsets of A and B agree, and they rise through the frame
     end = np.cumsum(ln)
-    end = end - np.repeat(end[np.cumsum(counts) - counts] - ln[np.cumsum(counts) - counts], counts)  # from 0 in each row
     return pd.DataFrame({"doc": doc, "idx": np.arange(len(tid)) - first, "id": tid, "start": end - ln, "end": end})
 
 
 def covering(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """For each token of `left`, the token of `right` (same document) whose bytes hold its first byte."""
-    got = pd.merge_asof(
-        left[["doc", "start", "idx", "id"]].sort_values("start", kind="stable"),
-        right[["doc", "start", "idx", "id"]].sort_values("start", kind="stable"),
-        on="start", by="doc", direction="backward", suffixes=("_l", "_r"),
-    )
-    return got
+    """For each token of `left`, the token of `right` (same document) whose bytes hold its first byte.
+
+    Both frames rise in `start` already (see `token_frame`), as `merge_asof` wants."""
+    return pd.merge_asof(left[["doc", "start", "idx", "id"]], right[["doc", "start", "idx", "id"]],
+                         on="start", by="doc", direction="backward", suffixes=("_l", "_r"))
 
 
 def common_ends(ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
@@ -150,14 +149,13 @@ def common_ends(ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
     return ea[ok][eb[at[ok]] == ea[ok]]
 
 
-def group_text(a: pd.DataFrame, b: pd.DataFrame) -> str:
-    """`a1,a2|b1;a3|b2,b3`: tokens of both sides cut where an A and a B token end at the same byte.
-
-    Every group holds at least one token of each side, as both tile the bytes between two cuts.
-    """
+def group_texts(a: pd.DataFrame, b: pd.DataFrame, n: int) -> list[str]:
+    """Per row of the chunk, `a1,a2|b1;a3|b2,b3`: tokens of both sides cut where an A and a B token end at
+    the same byte ('' without tokens). Every group holds a token of each side, as both tile the bytes
+    between two cuts, and the end of a row is a cut."""
     ea, eb = a["end"].to_numpy(), b["end"].to_numpy()
     if not len(ea):
-        return ""
+        return [""] * n
     cuts = common_ends(ea, eb)
     group = np.concatenate([np.searchsorted(cuts, ea), np.searchsorted(cuts, eb)])
     side = np.r_[np.zeros(len(ea), np.int8), np.ones(len(eb), np.int8)]
@@ -165,8 +163,12 @@ def group_text(a: pd.DataFrame, b: pd.DataFrame) -> str:
     ids = np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()])[order]
     group, side = group[order], side[order]
     same = (group[1:] == group[:-1]) & (side[1:] == side[:-1])
-    sep = np.where(same, ",", np.where(side[:-1] == 0, "|", ";"))
-    return "".join((DECIMAL[ids] + np.append(sep, "").astype(object)).tolist())
+    sep = np.append(np.where(same, ",", np.where(side[:-1] == 0, "|", ";")), "").astype(object)
+    per_row = np.bincount(a["doc"].to_numpy(), minlength=n) + np.bincount(b["doc"].to_numpy(), minlength=n)
+    bounds = np.r_[0, np.cumsum(per_row)]
+    sep[bounds[1:][per_row > 0] - 1] = ""  # no separator after a row's last token
+    pieces = (DECIMAL[ids] + sep).tolist()
+    return ["".join(pieces[bounds[d] : bounds[d + 1]]) for d in range(n)]
 
 
 def align_batch(pdf: pd.DataFrame, a_path: str, b_path: str) -> pd.DataFrame:
@@ -197,15 +199,14 @@ def align_batch(pdf: pd.DataFrame, a_path: str, b_path: str) -> pd.DataFrame:
     per_pair = pairs.groupby(["doc", "a", "b"], sort=True).size().reset_index(name="m")
     n_links = np.bincount(pairs["doc"].to_numpy(), minlength=n)
     cut_pairs = np.searchsorted(per_pair["doc"].to_numpy(), np.arange(n + 1))
-    cut_a = np.searchsorted(ta["doc"].to_numpy(), np.arange(n + 1))
-    cut_b = np.searchsorted(tb["doc"].to_numpy(), np.arange(n + 1))
+    count_a, count_b = np.bincount(ta["doc"].to_numpy(), minlength=n), np.bincount(tb["doc"].to_numpy(), minlength=n)
+    texts = group_texts(ta, tb, n)
     pa, pb, pm = per_pair["a"].to_numpy(np.int32), per_pair["b"].to_numpy(np.int32), per_pair["m"].to_numpy(np.int32)
     cols = {"n_a": [], "n_b": [], "n_groups": [], "groups": [], "links_a": [], "links_b": [], "links_m": [], "n_links": []}
     for d in range(n):
-        a, b = ta.iloc[cut_a[d] : cut_a[d + 1]], tb.iloc[cut_b[d] : cut_b[d + 1]]
-        text = group_text(a, b) if usable[d] else ""
+        text = texts[d]
         lo, hi = cut_pairs[d], cut_pairs[d + 1]
-        for name, value in (("n_a", len(a)), ("n_b", len(b)), ("n_groups", text.count(";") + 1 if text else 0), ("groups", text),
+        for name, value in (("n_a", int(count_a[d])), ("n_b", int(count_b[d])), ("n_groups", text.count(";") + 1 if text else 0), ("groups", text),
                             ("links_a", pa[lo:hi]), ("links_b", pb[lo:hi]), ("links_m", pm[lo:hi]), ("n_links", int(n_links[d]))):
             cols[name].append(value)
     out = pd.DataFrame(cols)
