@@ -6,11 +6,13 @@ depth d is a 128-bit digest of the key of depth d - 1 and the d-th turn, compute
 conversation's turns, so equal keys mean equal prefixes (up to digest collisions, about 2^-64 for
 10^10 nodes).
 
-Totals over subtrees (childless nodes, saved tokens) are added up the parent-edge tree: each node's
-own amounts are sent to its ancestors, which are the nodes of its smallest member's chain at smaller
-depth. That is one join and one aggregate, the rows growing with the sum of node depths. (The
-centroid decomposition first planned for this needs subtree sizes inside every component on every
-level, which is the same roll-up again; see README.)
+Totals over subtrees (childless nodes, saved tokens) come from the conversations' chains: a node's
+subtree is what lies below it on its members' chains. Each node's own amounts are placed on one chain,
+its smallest member's; running sums from the far end of each chain (a window per conversation) then
+hold, at every depth, what that chain alone adds below; summed over a node's members they give its
+subtree's totals. Rows: one a (conversation, depth), so linear in the turns. (The centroid
+decomposition first named for this needs subtree sizes inside every component on every level, which is
+the same roll-up again; see README.)
 
 Defined results: rows of a conversation are ordered by turn, nulls first, ties by role then text; a
 null role or text is empty; rows with a null conv_id belong to no conversation; repeated rows are
@@ -110,13 +112,19 @@ def prefix_tree(conversations: DataFrame, period: int = 20, heads: int = 4) -> D
     nodes = nodes.unionByName(root.join(nodes.select("node"), "node", "left_anti"))
     children = nodes.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
     nodes = saved(nodes.join(children, "node", "left").na.fill(0, ["n_children"]), "trie-nodes")
-    own = nodes.select(
-        "conv_id", "depth", (F.col("n_children") == 0).cast("long").alias("leaf"),
+    # A node's subtree is what lies below it on its members' chains. Each node is counted on one
+    # chain only, its smallest member's; sums from the far end of every chain up to each depth, added
+    # over a node's members, are then its subtree's totals. Rows: one a (conversation, depth).
+    weights = nodes.select(
+        "node", F.col("conv_id").alias("rep"), (F.col("n_children") == 0).cast("long").alias("leaf"),
         ((F.col("n_convs") - 1) * F.col("words")).cast("long").alias("saved"),
-    ).filter(F.col("conv_id").isNotNull())
-    # each node's amounts to every node of its smallest member's chain at its depth or above
-    up = own.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), "depth")).alias("depth"), "leaf", "saved")
-    totals = up.join(chain.select("conv_id", "depth", "node"), ["conv_id", "depth"]).groupBy("node").agg(
+    )
+    mine = F.col("rep") == F.col("conv_id")
+    placed = chain.select("conv_id", "depth", "node").join(weights, "node").select(
+        "conv_id", "depth", "node", F.when(mine, F.col("leaf")).otherwise(0).alias("leaf"),
+        F.when(mine, F.col("saved")).otherwise(0).alias("saved"))
+    below = W.partitionBy("conv_id").orderBy(F.col("depth").desc()).rowsBetween(W.unboundedPreceding, 0)
+    totals = placed.select("node", F.sum("leaf").over(below).alias("leaf"), F.sum("saved").over(below).alias("saved")).groupBy("node").agg(
         F.sum("leaf").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
     parents = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     out = nodes.join(totals, "node", "left").join(parents, "parent", "left")
