@@ -14,6 +14,8 @@ document and no pairs. A hot key or family is cut into blocks, and a task holds
 
 from __future__ import annotations
 
+import bisect
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,15 +43,15 @@ U = np.uint64
 class Settings:
     """`size` words a shingle; linked when 100 * both >= `percent` * either.
 
-    With 24 bands of 5 registers a pair at 85 % shares no band once in 10^6, at 90 % once in 10^9.
+    With 30 bands of 4 registers a pair at 80 % shares no band once in 7 * 10^6, at 85 % once in 4 * 10^9.
     `margin`: a pair is compared in full unless its estimate is below the threshold by so much
     (over six standard deviations of the estimate).
     """
 
     size: int = 5
     percent: int = 80
-    bands: int = 24
-    rows: int = 5
+    bands: int = 30
+    rows: int = 4
     margin: float = 0.25
 
     @property
@@ -105,12 +107,23 @@ def registers(hashes: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+@functools.cache
+def size_steps(percent: int, upto: int) -> list[int]:
+    """The smallest size of each step up to size `upto`, in whole numbers: a step ends where its
+    first size can no longer be linked, so linked sets are at most one step apart."""
+    starts = [1]
+    while starts[-1] <= upto:
+        starts.append(100 * starts[-1] // percent + 1)
+    return starts
+
+
 def band_keys(reg: np.ndarray, n: int, s: Settings) -> np.ndarray:
     """A key for each band that has a register.
 
     Sets of so few shingles that one more or less breaks the threshold link with their copies only
     and get no key. Small sets leave most registers empty, so the set's size, in steps that linked
-    sets are at most one apart in, tells them apart as well.
+    sets are at most one apart in, tells them apart as well. Sets just above the small ones, which
+    may be linked with one, get the keys of both kinds.
     """
     if n == 0 or 100 * n < s.percent * (n + 1):
         return np.empty(0, np.int64)
@@ -119,12 +132,29 @@ def band_keys(reg: np.ndarray, n: int, s: Settings) -> np.ndarray:
     key = mixed(full.astype(np.uint64) + U(1))
     for k in range(s.rows):
         key = mixed(key * U(31) + grid[full, k].astype(np.uint64))
-    if n <= 2 * s.registers:
-        step = int(np.floor(np.log(n) / -np.log(s.percent / 100)))
-        key = np.concatenate([mixed(key + U(step)), mixed(key + U(step + 1))])
+    small = 2 * s.registers
+    reach = 100 * small // s.percent  # the largest set that a small one can be linked with
+    if n <= reach:
+        step = bisect.bisect_right(size_steps(s.percent, reach), n)
+        sized = [mixed(key + U(step)), mixed(key + U(step + 1))]
+        key = np.concatenate(sized if n <= small else [*sized, key])
     return key.view(np.int64)
 
 
+def one_less_keys(hashes: np.ndarray, s: Settings) -> np.ndarray:
+    """Keys of a set of few shingles: the whole set and the set without each of them.
+
+    With so few, linked sets differ in one shingle; it may share a band with all the others, so
+    these keys find such pairs for certain.
+    """
+    n = len(hashes)
+    if n == 0 or 100 * n < s.percent * (n + 1) or n * (100 - s.percent) > 2 * s.percent + 100:
+        return np.empty(0, np.int64)
+    each = mixed(hashes + U(5))
+    whole = np.bitwise_xor.reduce(each)
+    return mixed(np.concatenate([whole[None], whole ^ each[: n if n > 1 else 0]])).view(np.int64)
+
+
 def sketch(docs: DataFrame, s: Settings, text: str = "text", set_id: str = "set_id") -> DataFrame:
     """`docs` with (n_shingles, set_id, registers, keys); set_id is null for an empty set."""
     out = f"{set_id} binary, n_shingles bigint, registers binary, band_keys array<bigint>"
@@ -138,8 +168,8 @@ def sketch(docs: DataFrame, s: Settings, text: str = "text", set_id: str = "set_
             for value in pdf[text]:
                 h = shingles(value, s.size, memo)
                 reg = registers(h, s.registers)
-                rows.append((xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None, len(h), reg.tobytes(),
-                             band_keys(reg, len(h), s)))
+                keys = np.concatenate([band_keys(reg, len(h), s), one_less_keys(h, s)])
+                rows.append((xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None, len(h), reg.tobytes(), keys))
             new = pd.DataFrame(rows, columns=[set_id, "n_shingles", "registers", "band_keys"], index=pdf.index)
             yield pd.concat([pdf[names], new], axis=1)
 

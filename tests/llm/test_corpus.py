@@ -9,6 +9,7 @@ import struct
 import sys
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,6 +90,27 @@ def test_estimate_follows_similarity():
     assert neardup.band_keys(neardup.registers(a, s.registers), len(a), s).size == s.bands
 
 
+def test_linked_sets_share_a_key():
+    """Around the size from which sets count as large, in tiny sets, and by odds at the threshold."""
+    r = np.random.default_rng(7)
+    for percent in (80, 85):
+        s = neardup.Settings(percent=percent)
+        cut = 2 * s.registers
+        for small, more in [(cut, 1), (cut - 5, 20), (cut, cut * 100 // percent - cut), (cut + 1, 30), (cut // 2, 10), (17, 3)]:
+            b = np.unique(r.integers(0, 1 << 64, small + more, dtype=np.uint64))
+            a = np.sort(r.permutation(b)[:small])
+            keys = [set(neardup.band_keys(neardup.registers(x, s.registers), len(x), s).tolist()) for x in (a, b)]
+            assert keys[0] & keys[1], (percent, small, more)
+        assert (1 - (percent / 100) ** s.rows) ** s.bands < 1e-6
+        # Every shingle falls in the first band, as it may by chance.
+        for n in range(1, 40):
+            b = np.unique(r.integers(0, 1 << 58, n + 1, dtype=np.uint64))
+            a = np.delete(b, n // 2)
+            if 100 * n >= percent * (n + 1) and n * (100 - percent) < 2 * percent:
+                keys = [set(neardup.one_less_keys(x, s).tolist()) for x in (a, b)]
+                assert keys[0] & keys[1], (percent, n)
+
+
 def test_blocks_lose_no_link(spark, monkeypatch):
     """A family cut into many blocks gives the same groups."""
     monkeypatch.setattr(neardup, "KEY_BLOCK", 8)
