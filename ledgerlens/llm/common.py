@@ -19,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A table of at most so many rows is sent to every task; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Rows of an Arrow batch that are worked on at once.
+ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e.select(F.col("v"), F.col("v")).distinct())
 
 
+def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of Arrow batches, at most `ROWS` at once."""
+    for pdf in batches:
+        for start in range(0, len(pdf), ROWS):
+            yield pdf.iloc[start : start + ROWS]
+
+
 def each_group(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
     """What `fn` lists for every group of rows, which must be bounded, for very many small groups.
 

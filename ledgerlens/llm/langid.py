@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
-from ledgerlens.llm.common import saved
+from ledgerlens.llm.common import few, saved
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for pdf in batches:
+        for pdf in few(batches):
             found = pd.DataFrame([model.predict(t) for t in pdf[text]], columns=new.fieldNames(), index=pdf.index)
             yield pd.concat([pdf[names], found], axis=1)
 

@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import components, each_group, saved
+from ledgerlens.llm.common import components, each_group, few, saved
 
 MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
-MEMO = 1 << 18
+MEMO = 1 << 16
 #: Documents of a key, and of a family, that one block holds.
 KEY_BLOCK, SET_BLOCK = 2048, 512
 #: Columns of the membership matrix that are in memory at once.
@@ -163,7 +163,7 @@ def sketch(docs: DataFrame, s: Settings, text: str = "text", set_id: str = "set_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHash()
-        for pdf in batches:
+        for pdf in few(batches):
             rows = []
             for value in pdf[text]:
                 h = shingles(value, s.size, memo)
@@ -179,6 +179,19 @@ def sketch(docs: DataFrame, s: Settings, text: str = "text", set_id: str = "set_
     return docs.select(*names).mapInPandas(run, schema)
 
 
+def with_set_id(docs: DataFrame, s: Settings, text: str = "text", set_id: str = "set_id") -> DataFrame:
+    """`docs` with the set_id that `sketch` gives."""
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = WordHash()
+        for pdf in few(batches):
+            h = [shingles(value, s.size, memo) for value in pdf[text]]
+            yield pdf.assign(**{set_id: [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in h]})
+
+    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField(set_id, BinaryType())]))
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of every row of `a` with every row of `b`.
 
@@ -307,7 +320,7 @@ def set_links(docs: DataFrame, sketches: DataFrame, s: Settings, doc_id: str = "
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = WordHash()
-        for pdf in batches:
+        for pdf in few(batches):
             h = [shingles(t, s.size, memo) for t in pdf[text]]
             yield pd.DataFrame({"set_id": [xxhash.xxh3_128_digest(x.tobytes()) for x in h], "hashes": [x.tobytes() for x in h]})
 
@@ -348,13 +361,19 @@ def without_near_duplicates(docs: DataFrame, settings: Settings = Settings(), do
     All columns are passed on as they are.
     """
     flags = near_duplicates(docs, settings, doc_id, text)
-    stay = flags.filter("kept AND set_id IS NOT NULL").select(F.col(doc_id).alias("_id"), "component_id", F.col("set_id").alias("_set"))
-    # Of a repeated id with unlike texts in one component, one set stays.
-    stay = saved(stay.groupBy("_id", "component_id").agg(F.min("_set").alias("_set")), "stay")
+    stay = flags.filter("kept AND set_id IS NOT NULL").groupBy(F.col(doc_id).alias("_id"), F.col("set_id").alias("_set"))
+    # A kept row's id is its component's. Of a repeated id with unlike texts in it, one set stays.
+    stay = saved(stay.agg(F.count("*").alias("_n")).groupBy("_id").agg(F.min(F.struct("_set", "_n")).alias("_x")).select("_id", "_x.*"), "stay")
     empty = docs.filter(~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     full = docs.filter(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    full = full.join(stay.select("_id").distinct(), F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    marked = sketch(full, settings, text, "_set_id").drop("n_shingles", "registers", "band_keys")
-    marked = marked.join(stay, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_set_id") == F.col("_set")), "left_semi")
-    one = marked.dropDuplicates([doc_id, "_set_id"]).drop("_set_id")
+
+    def picked(stay: DataFrame) -> DataFrame:
+        rows = full.join(stay.select("_id", "_set"), F.col(doc_id).eqNullSafe(F.col("_id"))).drop("_id")
+        return with_set_id(rows, settings, text, "_set_id").filter("_set_id = _set").drop("_set")
+
+    # Only rows that repeat both id and set are dealt out again to keep one of them.
+    one = picked(stay.filter("_n = 1"))
+    again = stay.filter("_n > 1")
+    if not again.isEmpty():
+        one = one.unionByName(picked(again).dropDuplicates([doc_id, "_set_id"]))
     return one.select(docs.columns).unionByName(empty)
