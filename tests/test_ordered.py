@@ -54,6 +54,19 @@ def test_dense_number_and_cut(spark):
     assert {r.g: r["count"] for r in got} == {0: 10, 2: 333}
 
 
+def test_split_deals_no_row_by_its_class(spark):
+    """The cuts go to every task, so that a class is not put in one."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of unknown size
+    try:
+        df = spark.range(2000).withColumn("y", (F.col("id") % 25 == 0).cast("int"))
+        rows = stratified_split(df, "y", "id")
+        assert rows.filter("is_test").count() == 400
+        assert "LeftOuter, BuildRight" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_split_does_not_depend_on_partitions(spark):
     df = spark.range(2000).withColumn("y", (F.col("id") % 25 == 0).cast("int"))
     a = stratified_split(df.repartition(7), "y", "id")
