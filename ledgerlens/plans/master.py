@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions import fixed
 from ledgerlens.functions.times import is_night
 from ledgerlens.operators.stats import column_medians, column_stats, with_lookup
+from ledgerlens.session import written
 
 IMPUTED = ["time_since_last_txn_min", "transaction_velocity", "amount_deviation_score"]
 COLUMN_ROLES = {
@@ -80,6 +81,18 @@ def enrich_merchants(txn: DataFrame, merchants: DataFrame) -> DataFrame:
     )
 
 
+#: Anchor columns that the supplement has itself; the others are filled from the anchor.
+BRIDGED = [
+    "transaction_id", "user_id", "receiver_id", "receiver_type", "data_source", "amount", "is_fraud", "hour_of_day",
+    "transaction_type", "mrc_category", "new_device_flag", "ip_location_mismatch", "is_night_transaction",
+]
+
+
+def bridge_stats(anchor: DataFrame) -> DataFrame:
+    """The statistics that `bridge` fills columns with: of every column it does not find in the supplement."""
+    return column_stats(anchor.select(*[c for c in anchor.columns if c not in BRIDGED]))
+
+
 def bridge(supplement: DataFrame, anchor: DataFrame, stats: DataFrame) -> DataFrame:
     """Give the supplement the anchor's columns, then its own two risk scores.
 
@@ -152,9 +165,10 @@ def build_anchor(txn: DataFrame, users: DataFrame, merchants: DataFrame) -> Data
 def build_master(
     txn: DataFrame, users: DataFrame, merchants: DataFrame, supplement: DataFrame
 ) -> DataFrame:
-    """The whole training table as one lazy plan: 50 columns, no rows on the driver."""
-    anchor = build_anchor(txn, users, merchants)
-    bridged = bridge(supplement, anchor, column_stats(anchor))
+    """The whole training table: 50 columns, no rows on the driver. The anchor is written once on the way."""
+    # The statistics scan the anchor several times: its joins are made once.
+    anchor = written(build_anchor(txn, users, merchants), "anchor")
+    bridged = bridge(supplement, anchor, bridge_stats(anchor))
     master = stack(anchor, bridged).withColumns(
         {
             "is_fraud": F.col("is_fraud").cast("int"),
