@@ -128,3 +128,11 @@ def test_model_keeps_its_metrics(spark, views):
     assert r.ap_masked < r.ap_base and r.verdict in ("rule engine", "partial learner", "genuine model")
     light = model.train_light(rows, ["k"])
     assert model.tree_score(rows, light).filter("score between 0 and 1").count() == rows.count()
+
+
+def test_statistics_of_the_filled_columns_only(spark):
+    """Ids that the bridge takes from the supplement are not counted by value."""
+    anchor = spark.createDataFrame([("t1", "u1", 1.0, "GPay", 3.0), ("t2", "u2", 2.0, "GPay", 5.0)],
+                                   "transaction_id string, user_id string, amount double, payment_app string, user_loyalty_score double")
+    got = {(r["column"], r["median"], r["mode"]) for r in master.bridge_stats(anchor).collect()}
+    assert got == {("payment_app", None, "GPay"), ("user_loyalty_score", 4.0, None)}
