@@ -11,8 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,9 +21,14 @@ from ledgerlens.operators.baseline import finish_baseline
 
 
 def _processor(columns: list[str], outputs: list[str], span: int, width: int) -> StatefulProcessor:
-    """Built in a function so that it is shipped to the workers by value."""
+    """Built in a function so that it is shipped to the workers by value.
+
+    `outputs` are the six totals and the centre.
+    """
     import numpy as np
 
+    Out = Row(*columns, *outputs)
+
     class Baseline(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             # Six totals per slice, flat, in the order of `slices`, of amounts less `centre`.
@@ -49,19 +53,23 @@ def _processor(columns: list[str], outputs: list[str], span: int, width: int) ->
                 np.array([np.nan if a is None else a for a in hour], dtype=float),
             )
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            # One user's share of one trigger; the trigger's size bounds it.
-            batch = pd.concat(list(rows))
-            untimed = batch[batch["row_at"].isna()]
-            if len(untimed):  # in no window, and sees none
-                yield untimed[columns].assign(**dict.fromkeys(outputs, 0.0))
-            batch = batch[batch["row_at"].notna()]
-            if batch.empty:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            # One user's share of one trigger; the trigger's size bounds it. Rows, not frames: most
+            # users send few rows a trigger, and a frame costs far more than what is done with them.
+            rows = list(rows)
+            place = {c: i for i, c in enumerate(rows[0].__fields__)}
+            passed = [place[c] for c in columns]
+            at_place, amount_place, hour_place = place["row_at"], place["row_amount"], place["row_hour"]
+            unseen = (0.0,) * len(outputs)
+            for row in rows:
+                if row[at_place] is None:  # in no window, and sees none
+                    yield Out(*[row[i] for i in passed], *unseen)
+            rows = sorted((r for r in rows if r[at_place] is not None), key=lambda r: r[at_place])
+            if not rows:
                 return
-            batch = batch.sort_values("row_at", kind="stable").reset_index(drop=True)
-            at = batch["row_at"].to_numpy(dtype="int64")
-            amount = batch["row_amount"].to_numpy(dtype=float)
-            hour = batch["row_hour"].to_numpy(dtype=float)
+            at = np.array([r[at_place] for r in rows], dtype="int64")
+            amount = np.array([r[amount_place] for r in rows], dtype=float)  # null becomes NaN
+            hour = np.array([r[hour_place] for r in rows], dtype=float)
             slices = at - at % width
 
             known, centre = {}, None
@@ -84,10 +92,11 @@ def _processor(columns: list[str], outputs: list[str], span: int, width: int) ->
                         loaded[s] = (np.empty(0, "int64"), np.empty((0, 6)))
                 return loaded[s]
 
-            optional = lambda values: [None if np.isnan(a) else float(a) for a in values]
-            for s in np.unique(slices).tolist():
-                mine = slices == s
-                merged = [at[mine], amount[mine], hour[mine]]
+            optional = lambda values: [None if a != a else a for a in values.tolist()]
+            cuts = (np.flatnonzero(np.diff(slices)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(at)]):
+                s = int(slices[a])
+                merged = [at[a:b], amount[a:b], hour[a:b]]
                 if s in known:
                     merged = [np.concatenate(pair) for pair in zip(self._load(s), merged)]
                     order = np.argsort(merged[0], kind="stable")
@@ -111,21 +120,20 @@ def _processor(columns: list[str], outputs: list[str], span: int, width: int) ->
                 low, high = np.searchsorted(starts, [tail + 1, s])
                 found[a:b] = sums[low:high].sum(axis=0)
                 moments, parts = slice_rows(s)
-                upto = np.vstack([none, np.cumsum(parts, axis=0)])
+                upto = np.concatenate([none, np.cumsum(parts, axis=0)])
                 found[a:b] += upto[np.searchsorted(moments, at[a:b])]
                 moments, parts = slice_rows(tail)
-                onward = np.vstack([np.cumsum(parts[::-1], axis=0)[::-1], none])
-                found[a:b] += onward[np.searchsorted(moments, first[a:b])]
+                if len(moments):
+                    onward = np.concatenate([np.cumsum(parts[::-1], axis=0)[::-1], none])
+                    found[a:b] += onward[np.searchsorted(moments, first[a:b])]
 
             kept = starts >= starts[-1] - span - width
             for s in starts[~kept].tolist():
                 self.rows.removeKey((s,))
             self.sums.update((starts[kept].tolist(), sums[kept].ravel().tolist(), centre))
 
-            out = batch[columns].copy()
-            for j, name in enumerate(outputs):
-                out[name] = found[:, j] if name != "__centre" else self.centre
-            yield out
+            for row, six in zip(rows, found.tolist()):
+                yield Out(*[row[i] for i in passed], *six, self.centre)
 
         def close(self) -> None:
             pass
@@ -163,10 +171,13 @@ def baseline_stream(
             "row_hour": F.col(hour).cast("double"),
         }
     )
+    # A NaN is handed on as null.
+    reals = [f.name for f in txn.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    prepared = prepared.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in reals})
     schema = T.StructType(list(txn.schema.fields))
     for name in outputs:
         schema = schema.add(name, "double")
-    summed = prepared.groupBy(user).transformWithStateInPandas(
+    summed = prepared.groupBy(user).transformWithState(
         statefulProcessor=_processor(txn.columns, outputs, timedelta(days=days) // us, slice_length // us),
         outputStructType=schema,
         outputMode="Append",

@@ -2,13 +2,14 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.baseline import with_baseline
 from ledgerlens.sources.evolving import scratch_folder
 from ledgerlens.sources.tables import message_stream
 from ledgerlens.streaming import jobs
-from ledgerlens.streaming.baseline import baseline_stream
+from ledgerlens.streaming.baseline import _processor, baseline_stream
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "txn_id long, user_id long, ts timestamp_ntz, amount double"
@@ -91,3 +92,31 @@ def test_messages(spark, views):
     jobs.run_available(stream, folder)
     got = jobs.read_out(stream, folder)
     assert got.filter("reason is null").count() > 0 and got.filter("reason is not null").count() > 0
+
+
+class FakeState(dict):
+    """A value and a map state in one, in memory."""
+
+    getValueState = getMapState = lambda self, name, *_: self.setdefault(name, FakeState())
+    exists = lambda self: "value" in self
+    get = lambda self: self["value"]
+    getValue = dict.get
+    update = lambda self, value: self.__setitem__("value", value)
+    updateValue = dict.__setitem__
+    removeKey = dict.pop
+
+
+def test_baseline_state_takes_and_gives_rows():
+    """A user's rows go in and out as they are: no frame a user and trigger."""
+    names = ["txn_id", "note"]
+    outputs = ["__n", "__x", "__xx", "__hn", "__h", "__hh", "__centre"]
+    processor = _processor(names, outputs, 10 * 100, 100)
+    processor.init(FakeState())
+    Given = Row(*names, "row_at", "row_amount", "row_hour")
+    first = [Given(2, "b", 250, 6.0, None), Given(1, None, 240, 4.0, 3), Given(3, "c", None, 9.0, 1)]
+    out = list(processor.handleInputRows((7,), iter(first), None))
+    assert out[0] == Row(*names, *outputs)(3, "c", *[0.0] * 7)
+    assert [(r.txn_id, r.note, r["__n"], r["__x"], r["__hn"], r["__h"], r["__centre"]) for r in out[1:]] == [
+        (1, None, 0.0, 0.0, 0.0, 0.0, 5.0), (2, "b", 1.0, -1.0, 1.0, 3.0, 5.0)]
+    (late,) = processor.handleInputRows((7,), iter([Given(4, "d", 1245, 1.0, 2)]), None)
+    assert (late["__n"], late["__x"], late["__hn"]) == (1.0, 1.0, 0.0)  # the row at 240 has left the window
