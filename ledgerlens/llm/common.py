@@ -36,12 +36,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def join_small(df: DataFrame, small: DataFrame, on: Column | list[str], how: str = "inner",
-               limit: int = BROADCAST_ROWS) -> DataFrame:
+               limit: int = BROADCAST_ROWS, at_most: int | None = None) -> DataFrame:
     """Join with a table that is mostly short: broadcast up to `limit` counted rows, else shuffled.
 
-    `small` should be a saved table, as counting it is a job of its own.
+    `small` should be a saved table, as counting it is a job of its own. It is not counted where it
+    is known to have `at_most` so many rows and these are few enough.
     """
-    few = small.limit(limit + 1).count() <= limit
+    few = (at_most is not None and at_most <= limit) or small.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(small) if few else small, on, how)
 
 

@@ -51,21 +51,26 @@ def keyed(df: DataFrame, bounds: list[tuple[float, float]]) -> DataFrame:
     return df.withColumn("keys", F.array(*keys)).drop("_dims", "_tie")
 
 
-def descend(df: DataFrame, cuts: list[DataFrame]) -> DataFrame:
+def step_down(df: DataFrame, cut: DataFrame, leaves: int | None = None) -> DataFrame:
+    """`node` one level further down; no level has more than `leaves` nodes."""
+    at = cut.select(F.col("node").alias("_node"), "dim", "cut")
+    df = join_small(df, at, F.col("node") == F.col("_node"), "left", at_most=leaves)
+    right = F.coalesce((F.element_at("keys", F.col("dim") + 1) > F.col("cut")).cast("long"), F.lit(0))
+    return df.withColumn("node", 2 * F.col("node") + right).drop("_node", "dim", "cut")
+
+
+def descend(df: DataFrame, cuts: list[DataFrame], leaves: int | None = None) -> DataFrame:
     """Add `node`: where each row arrives after the given levels of cuts."""
     df = df.withColumn("node", F.lit(1).cast("long"))
     for cut in cuts:
-        at = cut.select(F.col("node").alias("_node"), "dim", "cut")
-        df = join_small(df, at, F.col("node") == F.col("_node"), "left")
-        right = F.coalesce((F.element_at("keys", F.col("dim") + 1) > F.col("cut")).cast("long"), F.lit(0))
-        df = df.withColumn("node", 2 * F.col("node") + right).drop("_node", "dim", "cut")
+        df = step_down(df, cut, leaves)
     return df
 
 
-def split(rows: DataFrame, nodes: DataFrame, n_dims: int) -> DataFrame:
-    """(node, dim, cut, k, left_k) for the nodes that are to be split; `nodes` has (node, k) with k > 1."""
+def split(rows: DataFrame, nodes: DataFrame, n_dims: int, leaves: int | None = None) -> DataFrame:
+    """(node, dim, cut, k, left_k) for the nodes that are to be split, at most `leaves`; `nodes` has (node, k) with k > 1."""
     width = [(F.max(F.shiftright(F.element_at("keys", i + 1), TIE)) - F.min(F.shiftright(F.element_at("keys", i + 1), TIE))) for i in range(n_dims)]
-    inside = join_small(rows, nodes.select(F.col("node").alias("_node"), "k"), F.col("node") == F.col("_node")).drop("_node")
+    inside = join_small(rows, nodes.select(F.col("node").alias("_node"), "k"), F.col("node") == F.col("_node"), at_most=leaves).drop("_node")
     stats = inside.groupBy("node", "k").agg(F.sum("size").alias("bytes"), F.array(*width).alias("width"))
     stats = stats.select(
         "node", "k", "bytes", (F.array_position("width", F.array_max("width")) - 1).cast("int").alias("dim"),
@@ -77,7 +82,7 @@ def split(rows: DataFrame, nodes: DataFrame, n_dims: int) -> DataFrame:
         shift -= step
         named = state.select(F.col("node").alias("_node"), "dim", "low", "below", "goal")
         key = F.element_at("keys", F.col("dim") + 1)
-        part = join_small(rows, named, F.col("node") == F.col("_node")).withColumn("bin", F.shiftright(key - F.col("low"), shift))
+        part = join_small(rows, named, F.col("node") == F.col("_node"), at_most=leaves).withColumn("bin", F.shiftright(key - F.col("low"), shift))
         part = part.filter(F.col("bin").between(0, (1 << step) - 1)).groupBy("node", "below", "goal", "bin").agg(F.sum("size").alias("held"))
         before = F.sum("held").over(W.partitionBy("node").orderBy("bin")) - F.col("held") + F.col("below")
         part = part.withColumn("before", before).filter(F.col("before") <= F.col("goal"))
@@ -95,14 +100,20 @@ def split(rows: DataFrame, nodes: DataFrame, n_dims: int) -> DataFrame:
 
 
 def grow(rows: DataFrame, n_dims: int, leaves: int) -> tuple[list[DataFrame], DataFrame]:
-    """The cuts of every level, and (node, shard) of the leaves. `rows` has (size, keys)."""
+    """The cuts of every level, and (node, shard) of the leaves. `rows` has (size, keys).
+
+    Rows are written with their node once a level: a median takes several rounds, and each would
+    join all levels above again, with a table to broadcast for every one. What is joined has one row a
+    node, so the number of leaves bounds it and it is not counted each time.
+    """
     spark = rows.sparkSession
     nodes = spark.range(1, 2).select(F.col("id").alias("node"), F.lit(leaves).cast("long").alias("k"))
     cuts: list[DataFrame] = []
-    most = leaves
+    most, here = leaves, descend(rows, [])
     while most > 1:
-        here = descend(rows, cuts)
-        cut = split(here, nodes.filter("k > 1"), n_dims)
+        if cuts:
+            here = saved(step_down(here, cuts[-1], leaves), "placed")
+        cut = split(here, nodes.filter("k > 1"), n_dims, leaves)
         cuts.append(cut)
         halves = F.array(F.col("left_k"), F.col("k") - F.col("left_k"))
         children = cut.select(F.posexplode(halves).alias("side", "k"), "node").select((2 * F.col("node") + F.col("side")).alias("node"), "k")
@@ -132,8 +143,8 @@ def kd_shards(docs: DataFrame, size: Column, dims: dict[str, Column], tie: Colum
         total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         leaves = max(1, -(-total // target_bytes))
     cuts, shards = grow(rows, len(dims), leaves)
-    full = descend(keyed(docs.select(*named, *facts), bounds), cuts)
-    placed = join_small(full, shards.withColumnRenamed("node", "_leaf"), F.col("node") == F.col("_leaf"))
+    full = descend(keyed(docs.select(*named, *facts), bounds), cuts, leaves)
+    placed = join_small(full, shards.withColumnRenamed("node", "_leaf"), F.col("node") == F.col("_leaf"), at_most=leaves)
     keep = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("size", "shard")]
     return placed.select(*keep, "size", "shard")
 

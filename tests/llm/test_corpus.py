@@ -374,3 +374,25 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     same(got, at.collect())
     assert isinstance(out.schema["shard"].dataType, T.IntegerType)
+
+
+def test_shard_medians_join_no_level_above(spark, monkeypatch):
+    """Each level reads rows that carry their node: its rounds do not join the cuts of all levels above again."""
+    plans, bounds, real, real_join = [], [], sharding.split, sharding.join_small
+
+    def spy(rows, *rest):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return real(rows, *rest)
+
+    def join_spy(*args, **kwargs):
+        bounds.append(kwargs.get("at_most"))
+        return real_join(*args, **kwargs)
+
+    monkeypatch.setattr(sharding, "split", spy)
+    monkeypatch.setattr(sharding, "join_small", join_spy)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 7 + 1).alias("bytes"))
+    placed = sharding.kd_shards(docs, F.col("bytes"), {"by_id": F.col("doc_id").cast("double")}, F.xxhash64("doc_id"), leaves=8)
+    held = [r.b for r in placed.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()]
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
+    assert set(bounds) == {8}  # no job that counts a table of one row a node
+    assert len(held) == 8 and max(held) - min(held) <= 14
