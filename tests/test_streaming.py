@@ -120,3 +120,14 @@ def test_baseline_state_takes_and_gives_rows():
         (1, None, 0.0, 0.0, 0.0, 0.0, 5.0), (2, "b", 1.0, -1.0, 1.0, 3.0, 5.0)]
     (late,) = processor.handleInputRows((7,), iter([Given(4, "d", 1245, 1.0, 2)]), None)
     assert (late["__n"], late["__x"], late["__hn"]) == (1.0, 1.0, 0.0)  # the row at 240 has left the window
+
+
+def test_rows_without_a_user_leave_the_others_alone(spark):
+    """A null user is a user of its own, as in batch; with a null in a batch no key is mistaken for another."""
+    schema = "txn_id long, user_id long, ts timestamp_ntz, amount double, hour_of_day int"
+    rows = spark.createDataFrame(
+        [(i, None if i % 4 == 0 else i % 7, T0 + timedelta(hours=7 * i), float(i % 11), i % 24) for i in range(160)], schema)
+    folder = scratch_folder(spark, "nobody")
+    streamed = jobs.feed([rows.filter("txn_id < 90"), rows.filter("txn_id >= 90")], folder, lambda s: baseline_stream(s, days=10))
+    got = {r.txn_id: (r.n, round(r.z_amount, 6)) for r in streamed.collect()}
+    assert got == {r.txn_id: (r.n, round(r.z_amount, 6)) for r in with_baseline(rows, days=10).collect()}
