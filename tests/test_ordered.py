@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import balance as bal
-from ledgerlens.operators.neighbours import nearest
+from ledgerlens.operators.neighbours import build_tree, leaf_of, leaves_within, nearest, node_boxes
 from ledgerlens.operators.ordered import exact_medians, first_by_hash, with_dense_number, with_running_totals
 from ledgerlens.operators.prep import encode, fit_ordinals, stratified_split
 from ledgerlens.operators.stats import anova_f, column_modes, column_stats, null_summary
@@ -213,3 +213,62 @@ def test_bracketed_medians_are_exact(spark, accuracy):
         want = statistics.median(values) if values else None
         assert got[c] == (pytest.approx(want, rel=1e-12) if want is not None else None), c
     assert bracketed_medians(df.limit(0), cols).filter("median is not null").count() == 0
+
+
+def leaf_search_set(n_rows, n_features, seed, copies=0):
+    """Points with a crowded place, their tree, leaf boxes and counts."""
+    rnd = np.random.default_rng(seed)
+    x = np.concatenate([rnd.normal(size=(n_rows, n_features)) * 9, np.ones((copies, n_features))])
+    tree = build_tree(x, 1.0, 8)
+    leaf = leaf_of(x, tree)
+    n_leaves = int(tree[4].max()) + 1
+    counts = np.bincount(leaf, minlength=n_leaves)
+    low = np.array([x[leaf == c].min(axis=0) for c in range(n_leaves)])
+    high = np.array([x[leaf == c].max(axis=0) for c in range(n_leaves)])
+    return x, tree, low, high, counts
+
+
+@pytest.mark.parametrize("n_features, needed, most", [(1, 3, 1 << 20), (3, 11, 1 << 20), (3, 11, 50), (3, 10_000, 1 << 20), (9, 6, 1 << 20)])
+def test_leaves_within_are_those_of_all_boxes(n_features, needed, most):
+    x, tree, low, high, counts = leaf_search_set(700, n_features, 3, copies=40)
+    q = np.concatenate([x[::7], x[:20] * 3])
+    rows, leaves = leaves_within(q, tree, node_boxes(tree, low, high, counts), needed, most)
+    want = set()
+    for i, v in enumerate(q):
+        gap = np.maximum(np.maximum(low - v, v - high), 0.0)
+        reach = np.maximum(np.abs(v - low), np.abs(v - high))
+        near, far = (gap * gap).sum(axis=1), (reach * reach).sum(axis=1)
+        order = np.argsort(far, kind="stable")
+        limit = far[order][min(int((np.cumsum(counts[order]) < needed).sum()), len(counts) - 1)]
+        want |= {(i, int(c)) for c in np.flatnonzero(near <= limit * (1 + 1e-9) + 1e-9)}
+    assert len(rows) == len(want) and set(zip(rows.tolist(), leaves.tolist())) == want
+
+
+def test_leaf_search_does_not_look_at_every_leaf():
+    """Boxes compared per query: many times the leaves do not make them many times more."""
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            compared.append(len(at))
+            return np.asarray(self)[at]
+
+    seen = {}
+    for n in (2_000, 32_000):
+        x, tree, low, high, counts = leaf_search_set(n, 3, 5)
+        boxes = node_boxes(tree, low, high, counts)
+        compared = []
+        leaves_within(x[:50], tree, (boxes[0].view(Counted), *boxes[1:]), 11, 1 << 20)
+        seen[n] = sum(compared), len(counts)
+    assert seen[32_000][1] > 10 * seen[2_000][1] and seen[32_000][0] < 3 * seen[2_000][0]
+
+
+def test_balance_reads_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = training(spark)
+    bal.balance(df.mapInPandas(counted, df.schema), ["a", "b"], "y", ratio=0.5).collect()
+    assert read.value == 240
