@@ -83,8 +83,9 @@ def ranks_a(path: str):
     return tiktoken.Encoding("byte_bpe_a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: The decimal strings of ids, looked up rather than formatted token by token.
-DECIMAL = np.array([str(i) for i in range(1 << 16)], dtype=object)
+#: The decimal strings of ids with the separator that follows them, looked up rather than formatted token by
+#: token: before a token of the same side, before the group's B tokens, before the next group.
+BEFORE_SAME, BEFORE_B, BEFORE_A = (np.array([f"{i}{sep}" for i in range(1 << 16)], dtype=object) for sep in ",|;")
 
 
 @lru_cache(maxsize=4)
@@ -119,34 +120,44 @@ def spelled(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -
 
 
 def token_frame(ids: list[np.ndarray], table, ok: np.ndarray) -> pd.DataFrame:
-    """One row per token of the rows marked `ok`: doc (batch position), idx, id, start, end (bytes of the chunk)."""
+    """One row per token of the rows marked `ok`: doc (batch position), at (place in the frame), id, start, end
+    (bytes of the chunk)."""
     chosen = np.flatnonzero(ok)
     counts = np.fromiter((len(ids[d]) for d in chosen), np.int64, len(chosen))
     if not counts.sum():
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc", "idx", "id", "start", "end")})
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc", "at", "id", "start", "end")})
     tid = np.concatenate([ids[d] for d in chosen]).astype(np.int64)
     doc = np.repeat(chosen, counts)
-    first = np.repeat(np.cumsum(counts) - counts, counts)
     ln = table[2][tid]
     # offsets run on over the rows of the chunk: rows tile the same bytes on both sides, so the
     # offsets of A and B agree, and they rise through the frame
     end = np.cumsum(ln)
-    return pd.DataFrame({"doc": doc, "idx": np.arange(len(tid)) - first, "id": tid, "start": end - ln, "end": end})
+    return pd.DataFrame({"doc": doc, "at": np.arange(len(tid)), "id": tid, "start": end - ln, "end": end})
 
 
-def covering(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """For each token of `left`, the token of `right` (same document) whose bytes hold its first byte.
+def covering(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """For each token of `left`, the place in `right` of its token (same document) whose bytes hold its first byte.
 
     Both frames rise in `start` already (see `token_frame`), as `merge_asof` wants."""
-    return pd.merge_asof(left[["doc", "start", "idx", "id"]], right[["doc", "start", "idx", "id"]],
-                         on="start", by="doc", direction="backward", suffixes=("_l", "_r"))
+    return pd.merge_asof(left[["doc", "start"]], right[["doc", "start", "at"]],
+                         on="start", by="doc", direction="backward")["at"].to_numpy(np.int64)
 
 
-def common_ends(ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
-    """Values found in both ascending arrays."""
-    at = np.searchsorted(eb, ea)
-    ok = at < len(eb)
-    return ea[ok][eb[at[ok]] == ea[ok]]
+def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The overlapping (A, B) tokens, each pair once, as places in both frames."""
+    ab = covering(a, b)  # each A start in its B token
+    ba = covering(b, a)  # each B start in its A token
+    # a pair is found from both sides when its B token is the one that holds its A token's start
+    new = np.flatnonzero(ab[ba] != np.arange(len(ba)))
+    return np.concatenate([np.arange(len(ab)), ba[new]]), np.concatenate([ab, new])
+
+
+def counted_pairs(doc: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> tuple[np.ndarray, ...]:
+    """(doc, a, b, m) of the distinct triples and how often each occurs, in their order; the ids lie below the sizes."""
+    key, m = np.unique((doc * size_a + a) * size_b + b, return_counts=True)
+    rest, b = np.divmod(key, size_b)
+    doc, a = np.divmod(rest, size_a)
+    return doc, a, b, m
 
 
 def group_texts(a: pd.DataFrame, b: pd.DataFrame, n: int) -> list[str]:
@@ -156,19 +167,23 @@ def group_texts(a: pd.DataFrame, b: pd.DataFrame, n: int) -> list[str]:
     ea, eb = a["end"].to_numpy(), b["end"].to_numpy()
     if not len(ea):
         return [""] * n
-    cuts = common_ends(ea, eb)
-    group = np.concatenate([np.searchsorted(cuts, ea), np.searchsorted(cuts, eb)])
-    side = np.r_[np.zeros(len(ea), np.int8), np.ones(len(eb), np.int8)]
-    order = np.lexsort((np.arange(len(group)), side, group))
-    ids = np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()])[order]
-    group, side = group[order], side[order]
-    same = (group[1:] == group[:-1]) & (side[1:] == side[:-1])
-    sep = np.append(np.where(same, ",", np.where(side[:-1] == 0, "|", ";")), "").astype(object)
+    ends_a, ends_b = np.zeros(ea[-1] + 1, bool), np.zeros(ea[-1] + 1, bool)
+    ends_a[ea], ends_b[eb] = True, True
+    cut_a, cut_b = ends_b[ea], ends_a[eb]
+    # a token stands behind its own side's earlier tokens and the other side's tokens of earlier groups,
+    # a B token also behind the A tokens of its own group
+    upto_a, upto_b = np.r_[0, np.flatnonzero(cut_a) + 1], np.r_[0, np.flatnonzero(cut_b) + 1]
+    group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+    pieces = np.empty(len(ea) + len(eb), object)
+    for ids, cut, at, last in ((a["id"].to_numpy(), cut_a, np.arange(len(ea)) + upto_b[group_a], BEFORE_B),
+                               (b["id"].to_numpy(), cut_b, np.arange(len(eb)) + upto_a[group_b + 1], BEFORE_A)):
+        text = BEFORE_SAME[ids]
+        text[cut] = last[ids[cut]]
+        pieces[at] = text
+    pieces = pieces.tolist()
     per_row = np.bincount(a["doc"].to_numpy(), minlength=n) + np.bincount(b["doc"].to_numpy(), minlength=n)
-    bounds = np.r_[0, np.cumsum(per_row)]
-    sep[bounds[1:][per_row > 0] - 1] = ""  # no separator after a row's last token
-    pieces = (DECIMAL[ids] + sep).tolist()
-    return ["".join(pieces[bounds[d] : bounds[d + 1]]) for d in range(n)]
+    bounds = np.r_[0, np.cumsum(per_row)].tolist()
+    return ["".join(pieces[bounds[d] : bounds[d + 1]])[:-1] for d in range(n)]  # no separator after the last token
 
 
 def align_batch(pdf: pd.DataFrame, a_path: str, b_path: str) -> pd.DataFrame:
@@ -190,18 +205,14 @@ def align_batch(pdf: pd.DataFrame, a_path: str, b_path: str) -> pd.DataFrame:
         if len(got_a) != len(want) or len(got_b) != len(want) or (got_a != want).any() or (got_b != want).any():
             usable[d] = False
     ta, tb = token_frame(ids_a, bytes_a, usable), token_frame(ids_b, bytes_b, usable)
-    ab = covering(ta, tb)  # each A start in its B token
-    ba = covering(tb, ta)  # each B start in its A token
-    pairs = pd.concat([
-        pd.DataFrame({"doc": ab["doc"], "ia": ab["idx_l"], "ib": ab["idx_r"], "a": ab["id_l"], "b": ab["id_r"]}),
-        pd.DataFrame({"doc": ba["doc"], "ia": ba["idx_r"], "ib": ba["idx_l"], "a": ba["id_r"], "b": ba["id_l"]}),
-    ]).drop_duplicates(["doc", "ia", "ib"])
-    per_pair = pairs.groupby(["doc", "a", "b"], sort=True).size().reset_index(name="m")
-    n_links = np.bincount(pairs["doc"].to_numpy(), minlength=n)
-    cut_pairs = np.searchsorted(per_pair["doc"].to_numpy(), np.arange(n + 1))
+    at_a, at_b = overlaps(ta, tb)
+    pair_doc, id_a, id_b = ta["doc"].to_numpy()[at_a], ta["id"].to_numpy()[at_a], tb["id"].to_numpy()[at_b]
+    link_doc, link_a, link_b, link_m = counted_pairs(pair_doc, id_a, id_b, len(bytes_a[2]), len(bytes_b[2]))
+    n_links = np.bincount(pair_doc, minlength=n)
+    cut_pairs = np.searchsorted(link_doc, np.arange(n + 1))
     count_a, count_b = np.bincount(ta["doc"].to_numpy(), minlength=n), np.bincount(tb["doc"].to_numpy(), minlength=n)
     texts = group_texts(ta, tb, n)
-    pa, pb, pm = per_pair["a"].to_numpy(np.int32), per_pair["b"].to_numpy(np.int32), per_pair["m"].to_numpy(np.int32)
+    pa, pb, pm = link_a.astype(np.int32), link_b.astype(np.int32), link_m.astype(np.int32)
     cols = {"n_a": [], "n_b": [], "n_groups": [], "groups": [], "links_a": [], "links_b": [], "links_m": [], "n_links": []}
     for d in range(n):
         text = texts[d]

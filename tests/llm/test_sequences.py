@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
 import re
 import sys
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,38 @@ def test_alignment(docs, none):
     assert align.alignment(none).count() == 0
 
 
+def test_overlaps_and_groups_take_few_passes(monkeypatch):
+    """Overlapping tokens, their counts and the group text, on tilings made by hand; each token's covering token is
+    looked up once a direction and nothing is sorted or hashed as a frame beside that."""
+    rnd = random.Random(4)
+    table_a = table_b = (None, None, np.arange(1, 7))  # id i stands for i + 1 bytes
+    ids_a, ids_b = [], []
+    for total in (0, 1, 40, 7, 300):
+        for ids in (ids_a, ids_b):
+            left, run = total, []
+            while left:
+                run.append(rnd.randrange(min(6, left)))
+                left -= run[-1] + 1
+            ids.append(np.array(run, np.int64))
+    a, b = (align.token_frame(ids, table_a, np.ones(5, bool)) for ids in (ids_a, ids_b))
+    for name in ("drop_duplicates", "groupby"):
+        monkeypatch.setattr(align.pd.DataFrame, name, None)
+    at_a, at_b = align.overlaps(a, b)
+    want = {(i, j) for i, x in enumerate(a.itertuples()) for j, y in enumerate(b.itertuples()) if x.start < y.end and y.start < x.end}
+    assert len(at_a) == len(want) and set(zip(at_a.tolist(), at_b.tolist())) == want
+    doc, id_a, id_b = a["doc"].to_numpy()[at_a], a["id"].to_numpy()[at_a], b["id"].to_numpy()[at_b]
+    pairs = list(zip(*(c.tolist() for c in align.counted_pairs(doc, id_a, id_b, 6, 6))))
+    assert pairs == [(*key, m) for key, m in sorted(Counter(zip(doc.tolist(), id_a.tolist(), id_b.tolist())).items())]
+    texts = align.group_texts(a, b, 5)
+    for d, (x, y) in enumerate(zip(ids_a, ids_b)):
+        ends_x, ends_y = np.cumsum(x + 1).tolist(), np.cumsum(y + 1).tolist()
+        groups, lo = [], 0
+        for cut in sorted({*ends_x} & {*ends_y}):
+            groups.append("|".join(",".join(str(i) for i, e in zip(ids, ends) if lo < e <= cut) for ids, ends in ((x, ends_x), (y, ends_y))))
+            lo = cut
+        assert texts[d] == ";".join(groups)
+
+
 def test_alignment_markers_are_text(spark):
     text = "a <|endoftext|> b"
     got = align.alignment(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()
