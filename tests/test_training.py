@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import fixed
 from ledgerlens.operators import evaluate, model, prep, stats
 from ledgerlens.plans import master
+from ledgerlens.plans.catalog import QUERIES
+from ledgerlens.plans.fixtures import Views
+from ledgerlens.session import shared_folder
 from ledgerlens.sources.evolving import scratch_folder
 from ledgerlens.sources.tables import SCHEMAS, load
 
@@ -130,6 +133,37 @@ def test_model_keeps_its_metrics(spark, views):
     assert model.tree_score(rows, light).filter("score between 0 and 1").count() == rows.count()
 
 
+def test_scores_come_of_all_trees(spark, tmp_path, monkeypatch):
+    """Error rows are fraud and all others not, so every tree parts the classes and its leaves are known."""
+    events = spark.range(200).select(
+        F.col("id").alias("event_id"), F.lit("2024-01-01 10:00:00").cast("timestamp").alias("ts"),
+        (F.col("id") % 7).alias("user_id"), F.when(F.col("id") % 3 == 0, "error").otherwise("view").alias("event_type"),
+        F.when(F.col("id") % 3 == 0, 200.0).otherwise(20.0).alias("value"), F.lit('{"k": 3}').alias("props"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    fitted, train = [], model.train_trees
+    monkeypatch.setattr(model, "train_trees", lambda *a, **p: fitted.append(train(*a, **p)) or fitted[-1])
+    rows = QUERIES["gbt_scores"](Views(spark, str(tmp_path))).collect()
+    trees = fitted[0].stages[-1]
+    assert (trees.getNumTrees, trees.getMaxDepth()) == (400, 5)
+    margin = 1.0  # the first tree gives the class, +1 or -1; each further one 0.05 of its residual
+    for _ in range(399):
+        margin += 0.05 * 4 / (1 + math.exp(2 * margin))
+    fraud = 1 / (1 + math.exp(-2 * margin))
+    assert {r.is_fraud for r in rows} == {0, 1} and len(rows) == 40
+    for r in rows:
+        assert r.score == pytest.approx(fraud if r.is_fraud else 1 - fraud, abs=2e-6)
+
+
+def test_trees_have_a_folder_that_cuts_their_lineage(spark, monkeypatch):
+    rows = spark.range(60).select((F.col("id") % 2).cast("double").alias("label"), F.col("id").alias("x"))
+    given = []
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(type(spark.sparkContext), "setCheckpointDir", lambda self, folder: given.append(folder))
+    model.train_trees(rows, ["x"], maxIter=1, maxDepth=1)
+    assert given == [shared_folder(spark)]
+
+
 def test_statistics_of_the_filled_columns_only(spark):
     """Ids that the bridge takes from the supplement are not counted by value."""
     anchor = spark.createDataFrame([("t1", "u1", 1.0, "GPay", 3.0), ("t2", "u2", 2.0, "GPay", 5.0)],
